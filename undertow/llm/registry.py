@@ -8,14 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import fingerprint, packing, quality
+from undertow.llm import chat, fingerprint, lines, packing, quality, toxicity
 from undertow.llm.common import table
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.expand(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", fingerprint.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -26,9 +38,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op2_packing": op2_packing,
+    "op4_chat": op4_chat,
+    "op7_toxicity": op7_toxicity,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_lines": lines.LINE_SQL}
