@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm import bytebpe, chat, fingerprint, html_text, lines, media, packing, quality, toxicity
+from undertow.llm import bytebpe, chat, fingerprint, html_text, lines, media, packing, quality, substrings, toxicity
 from undertow.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprint.simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", fingerprint.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bytebpe": op5_bytebpe,
     "op6_media": op6_media,
     "op7_toxicity": op7_toxicity,
+    "op8_substrings": op8_substrings,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
