@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import by_chunks, doc_texts, map_arrow, with_columns
+from undertow.llm.common import by_chunks, keyed_texts, map_arrow, with_columns
 from undertow.llm.graph import component_roots
 
-FP_SCHEMA = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+FP_SCHEMA = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.int64())])
 LINK_SCHEMA = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 #: Widths of the six blocks; together 64 bits.
@@ -68,13 +68,13 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
-    """(doc_id, fp): one row per document, the fingerprint as a signed long."""
+    """(doc_id, row_key, fp): one row per document, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_chunks(batches):
-            yield with_columns(batch, ["doc_id"], FP_SCHEMA, fp=[_signed(fingerprint(t, how.width, how.seed)) for t in texts])
+            yield with_columns(batch, ["doc_id", "row_key"], FP_SCHEMA, fp=[_signed(fingerprint(t, how.width, how.seed)) for t in texts])
 
-    return map_arrow(doc_texts(docs), run, FP_SCHEMA)
+    return map_arrow(keyed_texts(docs), run, FP_SCHEMA)
 
 
 def pivot_points(n: int) -> np.ndarray:
@@ -172,15 +172,26 @@ def fingerprint_links(nodes: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     return map_arrow(rows, lambda batches: _links(how, batches), LINK_SCHEMA)
 
 
-def simhash_components(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included."""
-    prints = fingerprints(docs, how).checkpoint()
+def _classes(prints: DataFrame, how: SimHash) -> DataFrame:
+    """(fp, component_id): for each distinct fingerprint, the smallest doc_id that has one linked to it."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = component_roots(fingerprint_links(nodes, how))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return named.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
+    """(doc_id, row_key, fp, component_id): component_id is the smallest doc_id reachable over links, itself included."""
+    prints = fingerprints(docs, how).checkpoint()
+    return prints.join(_classes(prints, how), "fp").select("doc_id", "row_key", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
+    """(doc_id, row_key): one document of each component, the one with the smallest doc_id (nulls last)."""
+    prints = fingerprints(docs, how).checkpoint()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row_key")).alias("r")
+    return prints.join(_classes(prints, how), "fp").groupBy("root").agg(first).select("r.doc_id", "r.row_key")
 
 
 def hex_digits(fp: str):

@@ -341,8 +341,8 @@ def _row_join(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_k")), how).select("doc_id", "row_key", "text", "own")
 
 
-def with_spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
-    """(doc_id, row_key, text, own): every document with the spans to remove as structs of start and stop, or null."""
+def row_spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
+    """(doc_id, row_key, own) of the documents that lose something: the spans to remove, as structs of start and stop."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed_texts(docs)
     order = ["a", "c1", "c2", "doc_id", "row_key", "lo"]
@@ -362,7 +362,12 @@ def with_spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     common = windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
     spans = spans.unionByName(windows.join(common, ["w1", "w2"]).select("doc_id", "row_key", F.col("lo").alias("start"), (F.col("lo") + how.length).alias("stop")))
     spans = spans.unionByName(found.filter("full").select("doc_id", "row_key", F.col("lo").alias("start"), (F.col("hi") + how.length).alias("stop")))
-    return _row_join(texts, _by_row(spans, "start", "stop"), "left")
+    return _by_row(spans, "start", "stop")
+
+
+def with_spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
+    """(doc_id, row_key, text, own): every document with its spans, or null."""
+    return _row_join(keyed_texts(docs), row_spans(docs, how), "left")
 
 
 def cut_spans(text: bytes, own: list[dict] | None) -> tuple[bytes, int]:

@@ -14,13 +14,15 @@ doc_id are taken by their maximum. Without labels of both classes every score is
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertow.llm.common import by_chunks, doc_texts, map_arrow, with_columns
@@ -195,41 +197,58 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
     return Model(full, b, how)
 
 
-def _score(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    worth: dict[str, float] = {}
-    # only features with a weight matter: most words are worth nothing, and a few lookups say so
-    live = {int(i): float(model.weights[i]) for i in np.flatnonzero(model.weights)}
-    how = model.how
-    for batch, texts in by_chunks(batches):
-        if len(worth) > 400_000:
-            worth.clear()
-        scores = []
-        for t in texts:
-            words = words_of(t)
-            for w in words.difference(worth):
-                worth[w] = 0.0 if not any(f in live for f in features_of(w, how)) else 1.0
-            hot = [w for w in words if worth[w]]
-            # a feature counts once in a text, as in training
-            z = model.intercept + sum(live.get(f, 0.0) for f in sorted({f for w in hot for f in features_of(w, how)}))
-            scores.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-        yield with_columns(batch, ["doc_id"], SCORE_SCHEMA, score=scores)
+class Scorer:
+    """Scores texts; what a word is worth is kept. Most words have no feature with a weight."""
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, intercept: float, how: Toxicity):
+        self.live, self.intercept, self.how = dict(zip(at.tolist(), value.tolist(), strict=True)), intercept, how
+        self.hot: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, text: bytes) -> float:
+        hot, live = self.hot, self.live
+        words = words_of(text)
+        if len(hot) > 500_000:
+            hot.clear()
+        for w in words.difference(hot):
+            hot[w] = tuple(f for f in features_of(w, self.how) if f in live)
+        # a feature counts once in a text, as in training
+        z = self.intercept + sum(live[f] for f in sorted({f for w in words for f in hot[w]}))
+        return 1 / (1 + math.exp(-min(max(z, -500), 500)))
+
+
+def _scorers(spark: SparkSession, model: Model):
+    """Weights go out once; they are bounded by the number of hash buckets."""
+    at = np.flatnonzero(model.weights)
+    shared = spark.sparkContext.broadcast((at, model.weights[at]))
+    intercept, how = model.intercept, model.how
+    return lambda: Scorer(*shared.value, intercept, how)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): one row per document, scored on its whole text."""
-    sparse = Model(model.weights.astype(np.float64), model.intercept, model.how)
-    shared = docs.sparkSession.sparkContext.broadcast((np.flatnonzero(sparse.weights), sparse.weights[sparse.weights != 0]))
-    intercept, how = model.intercept, model.how
+    scorer = _scorers(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, value = shared.value
-        weights = np.zeros(1 << how.hash_bits)
-        weights[at] = value
-        return _score(Model(weights, intercept, how), batches)
+        own = scorer()
+        for batch, texts in by_chunks(batches):
+            yield with_columns(batch, ["doc_id"], SCORE_SCHEMA, score=list(map(own, texts)))
 
     return map_arrow(doc_texts(docs), run, SCORE_SCHEMA)
 
 
+def score_udf(spark: SparkSession, model: Model):
+    """The score of a text column, for use beside other columns."""
+    scorer = _scorers(spark, model)
+
+    @F.pandas_udf("double")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = scorer()
+        for some in texts:
+            yield pd.Series([own(t.encode("utf-8", "surrogatepass")) for t in some], dtype="float64")
+
+    return of
+
+
 def classify(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> DataFrame:
     """(doc_id, held_out, score, predicted): fits on the labels, then scores every document."""
     scored = score(docs, fit(docs, labels, how))
