@@ -49,7 +49,7 @@ TRAIN_SCHEMA = pa.schema([("label", pa.int64()), ("features", pa.binary()), ("sw
 
 @dataclass(frozen=True)
 class Toxicity:
-    max_train: int = 16_000
+    max_train: int = 10_000
     threshold: float = 0.7
     hash_bits: int = 20
     prefixes: tuple[int, ...] = (4, 5, 6)
@@ -119,21 +119,35 @@ def training_rows(docs: DataFrame, labels: DataFrame, how: Toxicity) -> DataFram
 
 
 class _Rows:
-    """Sparse 0/1 rows, scaled by column."""
+    """Sparse 0/1 rows, scaled by column; products go block by block, so that little is held beside the indices."""
+
+    BLOCK = 1 << 20
 
     def __init__(self, packed: list[bytes], column_of: np.ndarray, scale: np.ndarray):
-        parts = [column_of[np.frombuffer(p, "<u4")] for p in packed]
-        parts = [p[p >= 0] for p in parts]
-        lens = np.array([len(p) for p in parts], np.int64)
-        self.col = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(parts)), lens)
-        self.n, self.scale = len(parts), scale
+        lens, parts = np.zeros(len(packed), np.int64), []
+        for i, p in enumerate(packed):
+            own = column_of[np.frombuffer(p, "<u4")]
+            parts.append(own[own >= 0])
+            lens[i] = len(parts[-1])
+        self.col = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.row = np.repeat(np.arange(len(packed), dtype=np.int32), lens)
+        self.n, self.scale = len(packed), scale
+
+    def _blocks(self):
+        for i in range(0, len(self.col), self.BLOCK):
+            yield self.row[i : i + self.BLOCK], self.col[i : i + self.BLOCK]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=(w * self.scale)[self.col], minlength=self.n)
+        out, w = np.zeros(self.n), w * self.scale
+        for row, col in self._blocks():
+            out += np.bincount(row, weights=w[col], minlength=self.n)
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, weights=r[self.row], minlength=len(self.scale)) * self.scale
+        out = np.zeros(len(self.scale))
+        for row, col in self._blocks():
+            out += np.bincount(col, weights=r[row], minlength=len(self.scale))
+        return out * self.scale
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model:
@@ -150,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
     for p in packed:
         df[np.frombuffer(p, "<u4")] += 1
     used = np.flatnonzero(df >= how.min_documents)
-    column_of = np.full(size, -1, np.int64)
+    column_of = np.full(size, -1, np.int32)
     column_of[used] = np.arange(len(used))
     # frequent columns weigh less, so that one step size suits all
     scale = 1 / np.sqrt(df[used] / len(y))
@@ -161,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
     weight = np.where(y > 0, how.positive_weight, 1.0)
     weight /= weight.sum()
     half = how.swap_penalty / max(len(pairs), 1)
+    del packed, swapped
 
     def slope(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         r = weight * (1 / (1 + np.exp(-np.clip(x.dot(w) + b, -40, 40))) - y)
