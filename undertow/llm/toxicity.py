@@ -53,7 +53,7 @@ class Toxicity:
     threshold: float = 0.7
     hash_bits: int = 20
     prefixes: tuple[int, ...] = (4, 5, 6)
-    l1: float = 2e-4
+    l1: float = 6e-3
     swap_penalty: float = 1.0
     positive_weight: float = 10.0
     rounds: int = 200
