@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +111,15 @@ def ego(edges_normal: DataFrame, edges_clouded: DataFrame, target: str, k: int)
     full = reach(edges_clouded, k, t).select(F.col("src").alias("node"), "hops")
     seen = reach(edges_normal, k, t).select(F.col("src").alias("node"), F.lit(True).alias("in_normal"))
     return full.join(seen, "node", "left").na.fill(False, ["in_normal"])
+
+
+def annulus_layout(members: DataFrame, node: str, distance: str, visible: str, by: tuple[str, ...] = (), hole: float = 0.52, density: float = 27.4) -> DataFrame:
+    """Adds x and y: visible nodes inside, nearer ones first, at one density outside a hole, each a golden angle on.
+
+    Bands at one density that start where the last one ends are one spiral, so that a node's place alone gives its radius.
+    """
+    golden = math.pi * (3 - math.sqrt(5))
+    w = Window.partitionBy(*[F.col(c) for c in by]).orderBy(F.coalesce(F.col(visible), F.lit(False)).cast("int").desc(), distance, F.col(node).cast("string"))
+    place = F.row_number().over(w) - 1
+    radius, angle = F.sqrt(F.lit(hole * hole) + (F.col("_place") + 0.5) / (math.pi * density)), F.col("_place") * golden
+    return members.withColumn("_place", place).withColumn("x", radius * F.cos(angle)).withColumn("y", radius * F.sin(angle)).drop("_place")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,36 @@ def prompt_comparison(df: DataFrame, truth: str, a: str, b: str) -> DataFrame:
     one = df.agg(n(t & ~x).alias("fa"), n(~t & x).alias("pa"), n(t & ~y).alias("fb"), n(~t & y).alias("pb"), n(x != y).alias("d"))
     row = lambda name, f, p: F.struct(F.lit(name).alias("prompt"), F.col(f).alias("false_negatives"), F.col(p).alias("false_positives"), F.col("d").alias("disagreements"))
     return one.select(F.inline(F.array(row("a", "fa", "pa"), row("b", "fb", "pb"))))
+
+
+def sample_grid(low: int, high: int, points: int) -> list[int]:
+    """Sample sizes from low to high, evenly spaced by their logarithm, each once."""
+    if points < 2:
+        return [low]
+    return sorted({round(low * (high / low) ** (i / (points - 1))) for i in range(points)})
+
+
+def power_simulation(spark: SparkSession, alphas: list[float], sizes: list[int], n_categories: int, n_sims: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(true_alpha, n_items, mean, low, high, n_defined): nominal alpha of two simulated raters.
+
+    They agree with probability true_alpha and else rate independently. Draws are hashes of (seed, alpha, size, run, item), so
+    they don't depend on the partitioning; a run is a few counts after partial aggregation. A run whose values are all in one
+    category has no alpha and is left out.
+    """
+    grid = spark.createDataFrame([(float(a), int(n)) for a in alphas for n in sizes], "true_alpha double, n_items int")
+    runs = grid.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))))
+    items = runs.repartition("true_alpha", "n_items", "run").withColumn("item", F.explode(F.sequence(F.lit(1), F.col("n_items"))))
+
+    def draw(what: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "true_alpha", "n_items", "run", "item", F.lit(what)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+    pick = lambda what: F.floor(draw(what) * n_categories).cast("int")
+    items = items.withColumn("a", pick(1)).withColumn("b", F.when(draw(0) < F.col("true_alpha"), F.col("a")).otherwise(pick(2)))
+    counts = [F.sum((F.col("a") == c).cast("long") + (F.col("b") == c).cast("long")).alias(f"c{c}") for c in range(n_categories)]
+    by_run = items.groupBy("true_alpha", "n_items", "run").agg(F.sum((F.col("a") != F.col("b")).cast("long")).alias("differ"), *counts)
+    n, same = 2 * F.col("n_items"), sum((F.col(f"c{c}") * F.col(f"c{c}") for c in range(n_categories)), F.lit(0))
+    alpha = by_run.withColumn("alpha", 1 - F.try_divide((n - 1) * 2.0 * F.col("differ"), n * n - same))
+    tail = (1 - level) / 2
+    return alpha.groupBy("true_alpha", "n_items").agg(
+        F.avg("alpha").alias("mean"), F.percentile("alpha", F.lit(tail)).alias("low"), F.percentile("alpha", F.lit(1 - tail)).alias("high"), F.count("alpha").alias("n_defined")
+    )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from undertow.functions import names
 from undertow.functions.scalar import fiscal_year
 from undertow.operators import attribution as at
 from undertow.operators import concentration as co
@@ -392,3 +393,22 @@ def attach_buyer(spark, sf):
 def top_contractors(spark, sf):
     t = co.totals(records(spark, sf), "contractor").orderBy(F.desc("dollars"), "contractor").limit(15)
     return rounded(t.withColumn("place", F.row_number().over(Window.orderBy(F.desc("dollars"), "contractor")).cast("long")), 2)
+
+
+@query("""SELECT n_nationkey, array_to_string(list_transform(string_split(n_name, ' '), x -> CASE WHEN length(x) <= 3 THEN x ELSE upper(x[1]) || lower(x[2:]) END), ' ') AS short_name FROM nation""")
+def short_names(spark, sf):
+    n = read(spark, sf, "nation")
+    return n.select("n_nationkey", names.short_name(F.concat("n_name", F.lit(", L.L.C., INC."))).alias("short_name"))
+
+
+@query("""WITH p AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1 END, s_suppkey % 3, CAST(s_suppkey AS VARCHAR)) - 1 AS p FROM supplier)
+SELECT s_nationkey, s_suppkey, round(sqrt(0.52 * 0.52 + (p + 0.5) / (pi() * 27.4)) * cos(p * pi() * (3 - sqrt(5))), 4) + 0.0 AS x, round(sqrt(0.52 * 0.52 + (p + 0.5) / (pi() * 27.4)) * sin(p * pi() * (3 - sqrt(5))), 4) + 0.0 AS y FROM p""")
+def ego_layout(spark, sf):
+    s = read(spark, sf, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") % 3).alias("d"), (F.col("s_suppkey") % 2 == 0).alias("v"))
+    at_ = ex.annulus_layout(s, "s_suppkey", "d", "v", ("s_nationkey",)).select("s_nationkey", "s_suppkey", "x", "y")
+    return rounded(at_).withColumn("x", F.col("x") + 0.0).withColumn("y", F.col("y") + 0.0)
+
+
+@query()
+def power_simulation(spark, sf):
+    return va.power_simulation(spark, [0.6, 0.8], va.sample_grid(20, 200, 4), 3, 100, 13)
