@@ -395,7 +395,7 @@ def top_contractors(spark, sf):
     return rounded(t.withColumn("place", F.row_number().over(Window.orderBy(F.desc("dollars"), "contractor")).cast("long")), 2)
 
 
-@query("""SELECT n_nationkey, array_to_string(list_transform(string_split(n_name, ' '), x -> CASE WHEN length(x) <= 3 THEN x ELSE upper(x[1]) || lower(x[2:]) END), ' ') AS short_name FROM nation""")
+@query("""SELECT n_nationkey, array_to_string(list_transform(string_split(n_name, ' '), lambda x: CASE WHEN length(x) <= 3 THEN x ELSE upper(x[1]) || lower(x[2:]) END), ' ') AS short_name FROM nation""")
 def short_names(spark, sf):
     n = read(spark, sf, "nation")
     return n.select("n_nationkey", names.short_name(F.concat("n_name", F.lit(", L.L.C., INC."))).alias("short_name"))
