@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from undertow.llm import fingerprint, lines, packing, substrings, toxicity
+from undertow.llm import lines, nearcopies, packing, substrings, toxicity
 from undertow.llm.common import text_or_empty
 from undertow.session import prepare
 
@@ -54,9 +54,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: the one with the smallest doc_id."""
+    """One document of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more): the one with the smallest doc_id."""
     prepare(spark)
-    stay = fingerprint.representatives(docs).select(F.col("doc_id").alias("__stay"), F.col("row_key").alias("__stay_key"))
+    stay = nearcopies.representatives(docs).select(F.col("doc_id").alias("__stay"), F.col("row_key").alias("__stay_key"))
     rows = _keyed(docs)
     rows = rows.join(stay, F.col(D).eqNullSafe(F.col("__stay")) & (F.col(K) == F.col("__stay_key")), "left_semi")
     first = Window.partitionBy(D, K).orderBy(F.lit(0))
