@@ -77,3 +77,37 @@ def test_common_shingles_change_no_result(spark, sample):
     want, _ = plain_near(rows)
     got = nearcopies.representatives(docs(spark, rows), nearcopies.Near(sample=sample)).collect()
     assert sorted(str(r.doc_id) for r in got) == want
+
+
+def plain_lines(rows):
+    """Texts without lines that ten documents share, but for the first by doc_id and position."""
+    key = lambda x: x.encode().strip(b" \t\n\x0b\x0c\r").lower()
+    holders, first = {}, {}
+    for i, t in rows:
+        for k, x in enumerate((t or "").split("\n")):
+            holders.setdefault(key(x), set()).add(i)
+            first[key(x)] = min(first.get(key(x), (i, k)), (i, k))
+    goes = lambda i, k, x: key(x) and len(holders[key(x)]) >= 10 and first[key(x)] != (i, k)
+    return sorted((i, "\n".join(x for k, x in enumerate((t or "").split("\n")) if not goes(i, k, x))) for i, t in rows)
+
+
+def copied_corpus():
+    rng = random.Random(4)
+    twelve = "\n".join(" ".join(words(rng, 12)) for _ in range(6))
+    two = "\n".join(" ".join(words(rng, 12)) for _ in range(6))
+    rows = [(100 + i, twelve) for i in range(12)] + [(200 + i, two) for i in range(2)]
+    rows += [(300 + i, " ".join(words(rng, 40)) + "\n  A common LINE \n" + " ".join(words(rng, 40))) for i in range(15)]
+    return [*rows, (400, None), (401, ""), (100, twelve)], twelve, two
+
+
+def test_line_dedup_keeps_first_occurrences(spark):
+    rows, twelve, _ = copied_corpus()
+    got = sorted((r.doc_id, r.text) for r in stages.dedup_lines(spark, docs(spark, rows), "").collect())
+    assert got == plain_lines(rows)
+    assert [i for i, t in got if t == twelve] == [100, 100]
+
+
+def test_a_text_of_twelve_copies_leaves_the_pipeline_once(spark):
+    rows, twelve, two = copied_corpus()
+    left = stages.dedup_near(spark, stages.dedup_lines(spark, docs(spark, rows), ""), "").collect()
+    assert [r.doc_id for r in left if r.text == twelve] == [100] and [r.doc_id for r in left if r.text == two] == [200]

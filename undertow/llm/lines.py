@@ -113,7 +113,7 @@ def _drops(rule: LineRule, crossing, batches: Iterator[pa.RecordBatch]) -> Itera
     """Rows of lines to drop. Of a key that isn't yet known to be common only min_docs documents' rows wait."""
     known = crossing.value
     starts = TaskContext.get().partitionId()
-    key, waiting, docs, last, common, seen = None, [], 0, None, False, False
+    key, waiting, docs, last, common, seen, first = None, [], 0, None, False, False, None
     for batch in batches:
         out = []
         rest = batch.select(["uid", "row_key", "pos", "n_lines"])
@@ -122,12 +122,20 @@ def _drops(rule: LineRule, crossing, batches: Iterator[pa.RecordBatch]) -> Itera
                 key, waiting, docs, last = k, [], 0, None
                 common = known[k][0] >= rule.min_docs if k in known else False
                 seen = k in known and known[k][1] < starts
+                first = None
             u = uid[where]
             docs += 1 + int((u[1:] != u[:-1]).sum()) - (last == int(u[0]))
             last = int(u[-1])
             piece = rest.slice(where.start, where.stop - where.start)
             if rule.keep_first and not seen:
-                piece, seen = piece.slice(1), True
+                first, seen = [piece.column(c)[0].as_py() for c in range(3)], True
+            if first:
+                # a repeated row has the same first line at the same place; its bitmap serves both
+                again = 0
+                while again < len(piece) and [piece.column(c)[again].as_py() for c in range(3)] == first:
+                    again += 1
+                first = first if again == len(piece) else None
+                piece = piece.slice(again)
             waiting.append(piece)
             if common or docs >= rule.min_docs and k not in known:
                 common = True

@@ -40,9 +40,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many documents share."""
+    """Documents without the lines that many documents share, but for the first occurrence of each."""
     prepare(spark)
-    maps = lines.keep_bitmaps(docs).select(F.col("uid").alias("__uid"), F.col("row_key").alias("__map_key"), F.col("keep_bitmap").alias("__bitmap"))
+    maps = lines.keep_bitmaps(docs, lines.LineRule(keep_first=True)).select(F.col("uid").alias("__uid"), F.col("row_key").alias("__map_key"), F.col("keep_bitmap").alias("__bitmap"))
     rows = _keyed(docs).withColumn("__own", F.coalesce(D, K))
     rows = rows.join(maps, (F.col("__own") == F.col("__uid")) & (F.col(K) == F.col("__map_key")), "left")
 
