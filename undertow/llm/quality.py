@@ -33,13 +33,16 @@ SCHEMA = pa.schema(
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits on a text. Repeats count from `window` words on."""
+    """Limits on a text. Repeats count from `window` words on.
+
+    Maximal repeats cover the same words as repeated windows do, so max_covered_fraction decides only below max_repeat_percent:
+    12 % is the usual limit for repeated passages of 8 words. No passage over max_longest_repeat words may be said twice."""
 
     window: int = 8
     min_words: int = 20
     max_repeat_percent: int = 30
-    max_covered_fraction: float = 0.3
-    max_longest_repeat: int = 400
+    max_covered_fraction: float = 0.12
+    max_longest_repeat: int = 50
 
 
 def _suffix_repeats(ids: np.ndarray, doc: np.ndarray, end: np.ndarray, dup: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
