@@ -2,8 +2,8 @@
 
 The parser's events cut a page into lines: the text between two block boundaries, with the number of tags inside and before
 it. A line's text-to-tag ratio is smoothed with a Gaussian over the page's lines; lines above a threshold (a share of the
-standard deviation) form clusters, and the container that holds most of the clusters' text is the content region. Every line
-of that region is returned, short ones too, but for what lies in menus, headers, footers, sidebars, notices, adverts, forms,
+standard deviation) form clusters, and the smallest container that holds all of them is the content region; lists, tables and
+quotes are parts of a text and never the region, and no element's name makes it one. Every line of that region is returned, short ones too, but for what lies in menus, headers, footers, sidebars, notices, adverts, forms,
 comments of readers, scripts and styles, which is told by element or by the words of its class, id or role. Unclosed tags and
 stray end tags are tolerated: only elements that group others are kept on the stack.
 
@@ -29,6 +29,8 @@ SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.s
 
 SKIPPED = frozenset("nav header footer aside form script style noscript template svg iframe button select option textarea head title menu dialog object canvas".split())
 GROUPS = frozenset("html body article main section div nav header footer aside form ul ol dl table tbody thead tr figure blockquote details menu dialog fieldset td".split())
+#: Groups that are parts of a text, so never its region.
+PARTS = frozenset("ul ol dl table tbody thead tr td figure blockquote details fieldset".split())
 BLOCKS = GROUPS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd th pre hr br address figcaption caption summary tfoot".split())
 RAW = frozenset("script style noscript template svg iframe textarea title object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -127,29 +129,24 @@ def main_text(html: str, how: Ratios = Ratios()) -> str:
     ratio = np.array([len(t) / max(1, g) for t, g, _ in lines])
     smooth = _smooth(ratio, how.sigma)
     chosen = smooth >= min(how.share_of_deviation * smooth.std(), smooth.max())
-    # each container's share of the clusters' text; an article or main element stands for all inside it
-    weight: dict[int, int] = {}
-    for ok, (text, _, c) in zip(chosen, lines, strict=True):
+    # the smallest container that holds every chosen line; parts of lists, tables and quotes are never all of a text
+    paths = []
+    for ok, (_, _, c) in zip(chosen, lines, strict=True):
         if ok:
-            top, at = c, c
-            while at:
-                if containers[at][1] in ("article", "main"):
-                    top = at
-                at = containers[at][0]
-            weight[top] = weight.get(top, 0) + len(text)
-    region = max(weight, key=lambda c: (containers[c][1] in ("article", "main"), weight[c], -c))
-    if containers[region][1] not in ("article", "main"):
-        # no article: widen to the container that holds most of all chosen text
-        total, held = sum(weight.values()), dict.fromkeys(range(len(containers)), 0)
-        for c, n in weight.items():
-            at = c
-            while True:
-                held[at] += n
-                if not at:
-                    break
-                at = containers[at][0]
-        while region and held[region] < 0.8 * total:
-            region = containers[region][0]
+            path = [c]
+            while path[-1]:
+                path.append(containers[path[-1]][0])
+            paths.append(path[::-1])
+    region, common = 0, min(map(len, paths))
+    for level in range(common):
+        at = {path[level] for path in paths}
+        if len(at) > 1:
+            break
+        c = at.pop()
+        if containers[c][1] not in PARTS:
+            region = c
+        else:
+            break
 
     def inside(c: int) -> bool:
         while c and c != region:
