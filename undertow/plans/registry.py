@@ -340,7 +340,7 @@ def bootstrap_persistence(spark, sf):
     b = _buyers(spark, sf)
     a = pe.retention(b, "naive").select("buyer", F.col("at_risk").alias("na"), F.col("retained").alias("nr"))
     c = pe.retention(b, "unclouded").select("buyer", F.col("at_risk").alias("ua"), F.col("retained").alias("ur"))
-    return pe.bootstrap_persistence(a.join(c, "buyer"), 200, 20260928)
+    return pe.bootstrap_persistence(a.join(c, "buyer"), 20_000, 20260928)
 
 
 @query()
@@ -411,4 +411,4 @@ def ego_layout(spark, sf):
 
 @query()
 def power_simulation(spark, sf):
-    return va.power_simulation(spark, [0.6, 0.8], va.sample_grid(20, 200, 4), 3, 100, 13)
+    return va.power_simulation(spark, [0.5, 0.7, 0.8, 0.9], va.sample_grid(10, 300, 15), 3, 2000, 13)
