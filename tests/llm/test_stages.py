@@ -4,9 +4,11 @@ import random
 
 import pytest
 
-pytest.importorskip("public_tokenizers")
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from undertow.llm import nearcopies, stages  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from undertow.llm import nearcopies, stages, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -111,3 +113,51 @@ def test_a_text_of_twelve_copies_leaves_the_pipeline_once(spark):
     rows, twelve, two = copied_corpus()
     left = stages.dedup_near(spark, stages.dedup_lines(spark, docs(spark, rows), ""), "").collect()
     assert [r.doc_id for r in left if r.text == twelve] == [100] and [r.doc_id for r in left if r.text == two] == [200]
+
+
+def test_other_stages_and_the_whole_run(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows, _, _ = copied_corpus()
+    rows += [(1000 + i, t) for i, t in near_corpus() if i is not None]
+    bad = [(2000 + i, "you rotten fool " + " ".join(words(rng, 3))) for i in range(40)]
+    fine = [(3000 + i, "a fine day " + " ".join(words(rng, 3))) for i in range(40)]
+    rows += bad + fine
+    d = str(tmp_path)
+    docs(spark, rows).write.parquet(f"{d}/documents.parquet")
+    labels = [(i, 1, 1) for i, _ in bad] + [(i, 1, 0) for i, _ in fine]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    clean = stages.drop_toxic(spark, table, d)
+    judged = {r.doc_id for r in toxicity.classify(table, spark.read.parquet(f"{d}/labels.parquet")).filter("predicted = 0").collect()}
+    assert {r.doc_id for r in clean.collect()} == judged and not judged & {i for i, _ in bad} and judged >= {i for i, _ in fine}
+
+    # the stages that follow, each by its plain version
+    own = [(r.doc_id, r.text) for r in clean.collect()]
+    lines_left = plain_lines(own)
+    stay, _ = plain_near(lines_left)
+    left = [(i, t) for i, t in dict(sorted(lines_left)).items() if str(i) in stay]
+    count = {}
+    for _, t in left:
+        b = t.encode()
+        for s in range(len(b) - 199):
+            count[b[s : s + 200]] = count.get(b[s : s + 200], 0) + 1
+    want = []
+    for i, t in left:
+        b = t.encode()
+        gone = set()
+        for s in range(len(b) - 199):
+            if count[b[s : s + 200]] > 1:
+                gone.update(range(s, s + 200))
+        want.append((i, bytes(x for k, x in enumerate(b) if k not in gone).decode()))
+    got = stages.dedup_substrings(spark, docs(spark, left), d).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(want)
+
+    tokens = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    size = {i: len(tokens.encode(t, add_special_tokens=False).ids) + 1 for i, t in want}
+    packed = {}
+    for r in corpus_pipeline.run(spark, d).collect():
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
+    assert packed == size
