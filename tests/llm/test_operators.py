@@ -115,7 +115,7 @@ def test_media(spark):
 
 def test_substrings(spark):
     rows = corpus()
-    for how in (substrings.Repeats(), substrings.Repeats(large_group=1)):
+    for how in (substrings.Repeats(), substrings.Repeats(per_group=1), substrings.Repeats(per_group=3, held_bytes=500)):
         got = sorted((str(r.doc_id), r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeat_digests(docs(spark, rows), how).collect())
         raw = [(i, (t or "").encode()) for i, t in rows]
         count = {}

@@ -2,19 +2,23 @@
 
 A string of `length` bytes that starts at two places goes at both. Every such window is assigned its anchor: the `gram` bytes in
 it with the smallest hash. Equal windows have equal anchors at equal places, so the corpus meets on anchors, about one for 70
-bytes, instead of on positions; neighbouring windows with one anchor are one row, whose context (all their bytes) is hashed.
+bytes, instead of on positions; neighbouring windows with one anchor are one row, and all their bytes are its context.
 
-Rows are range-partitioned and sorted by anchor, context, document and place, so a common passage spreads over partitions and
-streams past. Equal contexts are removed whole. A context that is alone while its anchor isn't lies at the border of a common
-passage; only there texts are looked at again: of each group, the suffixes that may begin a common window are merge-sorted,
-two suffixes being compared by binary search for their common extension over prefix polynomial hashes, and neighbours whose
-common prefix reaches `length` are verified byte by byte. Groups of more than `large_group` such contexts are settled by
-counting 128-bit hashes of single windows with a partial aggregation instead.
+1. Rows are range-partitioned and sorted by anchor, context hash, document and place, so a common passage spreads over
+   partitions and streams past. A row whose context hash occurs again goes on, and so does one row of each hash whose anchor has
+   several. Hashes only choose who is compared; nothing is removed on their word.
+2. The texts of those rows are looked at again. Contexts that are the same bytes meet within a task, so that each task sends a
+   common context once, however many copies it has. What met there is settled; the rest waits for what other tasks have.
+3. Contexts of one anchor are merge-sorted, two suffixes being compared by binary search for their common extension over prefix
+   polynomial hashes; neighbours that compare alike are verified byte by byte. Among contexts that differ, the suffixes that may
+   begin a common window are sorted and verified likewise, which gives the windows at the borders of common passages.
 
-Contexts count as equal by a 64-bit anchor hash and an independent 128-bit hash of the context.
+An anchor with many contexts is dealt over ceil(contexts / per_group) tasks by the hashes of its windows: equal windows meet in
+one of them, and a context goes to those that its windows name, at most once a window.
 
 Null and empty texts, and texts shorter than `length`, lose nothing. Repeated rows are copies of each other and lose everything
-that is `length` bytes or longer. Windows never cross documents. Other columns of the input are not read.
+that is `length` bytes or longer; they share one list of spans. Ties can't occur: every row with a window that is common goes. An
+empty table gives no rows. Windows never cross documents. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +37,12 @@ from pyspark.sql import functions as F
 from undertow.llm.common import by_chunks, keyed_texts, map_arrow
 
 ANCHORS = pa.schema([("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("p", pa.int32())])
-FOUND = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("full", pa.bool_())])
-CONTEXTS = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("context", pa.binary())])
-WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32())])
+FOUND = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("first", pa.bool_())])
+#: A context (bytes) or, without bytes, a settled span; `own` contexts wait for a verdict, others were settled where they met.
+CONTEXTS = pa.schema(
+    [("deal", pa.int64()), ("a", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.bool_()),
+     ("context", pa.binary())]
+)
 SPANS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 TEXTS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("kept", pa.binary()), ("n_removed", pa.int64())])
@@ -50,7 +57,8 @@ STRETCH = 1 << 19
 class Repeats:
     length: int = 200
     gram: int = 64
-    large_group: int = 20_000
+    per_group: int = 500
+    held_bytes: int = 32_000_000
 
 
 class _Powers:
@@ -134,7 +142,7 @@ def _anchor_rows(how: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From sorted anchors: contexts that occur again (full), and one row of each context whose anchor has several, or may have
+    """From sorted anchors: contexts whose hash occurs again, and one row (first) of each whose anchor has several, or may have
     in a neighbouring partition."""
 
     def settle(t: pa.Table, open_start: bool, open_end: bool) -> pa.RecordBatch:
@@ -152,10 +160,9 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             several |= group == 0
         if open_end:
             several |= group == group[-1]
-        border = several & new_c
-        pick = np.concatenate([np.flatnonzero(full), np.flatnonzero(border)])
-        is_full = np.concatenate([np.ones(int(full.sum()), bool), np.zeros(int(border.sum()), bool)])
-        rows = t.select(["a", "doc_id", "row_key", "lo", "hi"]).take(pa.array(pick)).append_column("full", pa.array(is_full))
+        first = several & new_c
+        pick = np.flatnonzero(full | first)
+        rows = t.select(["a", "doc_id", "row_key", "lo", "hi"]).take(pa.array(pick)).append_column("first", pa.array(first[pick]))
         return pa.RecordBatch.from_arrays([rows.column(f.name).combine_chunks() for f in FOUND], schema=FOUND)
 
     held: list[pa.RecordBatch] = []
@@ -183,24 +190,72 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(pa.Table.from_batches(held), open_start, True)
 
 
-def _cut_contexts(how: Repeats, windows: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts, or all their windows' hashes, from texts with lists of (a, lo, hi)."""
-    digest = xxhash.xxh3_128_digest
+def _window_hashes(h: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of windows, alike wherever the same bytes stand."""
+    _, down = _powers.to(len(h))
+    return _mixed((h[starts + length] - h[starts]) * down[starts])
+
+
+def _parts_of(context: bytes, length: int, parts: int) -> list[int]:
+    """Which of an anchor's tasks the windows of a context name."""
+    if parts == 1:
+        return [0]
+    h = prefix_hashes(np.frombuffer(context, np.uint8))
+    return np.unique(_window_hashes(h, np.arange(len(context) - length + 1), length) % np.uint64(parts)).tolist()
+
+
+def _deal(a: int, part: int) -> int:
+    x = (a + part * BASE) & MASK
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _contexts(how: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From texts with lists of (a, lo, hi, parts): contexts that met here as settled spans, and each distinct one once."""
+    seen: dict[tuple[int, bytes], list] = {}
+    rows: list[tuple] = []
+    size = 0
+
+    def settled(a: int, doc, key: int, lo: int, hi: int) -> None:
+        rows.append((key, a, 0, 1, doc, key, lo, hi, False, None))
+
+    def emit() -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(CONTEXTS)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, CONTEXTS, strict=True)], schema=CONTEXTS)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        held = 0
+        for (a, context), (doc, key, lo, hi, parts, own) in seen.items():
+            for k in _parts_of(context, how.length, parts):
+                rows.append((_deal(a, k), a, k, parts, doc, key, lo, hi, own, context))
+                held += len(context)
+            if held > 4_000_000:
+                yield emit()
+                held = 0
+        seen.clear()
+        yield emit()
+
     for batch, texts in by_chunks(batches):
-        rows = []
-        for i, t in enumerate(texts):
-            for need in batch.column(3)[i].as_py():
-                if windows:
-                    rows += [(i, s, digest(t[s : s + how.length])) for s in range(need["lo"], need["hi"] + 1)]
-                else:
-                    rows.append((i, need["lo"], t[need["lo"] : need["hi"] + how.length], need["a"]))
-        at = pa.array([r[0] for r in rows], pa.int64())
-        doc, key, lo = batch.column(0).take(at), batch.column(1).take(at), pa.array([r[1] for r in rows], pa.int32())
-        if windows:
-            w = np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), doc, key, lo], schema=WINDOWS)
-        else:
-            yield pa.RecordBatch.from_arrays([pa.array([r[3] for r in rows], pa.int64()), doc, key, lo, pa.array([r[2] for r in rows], pa.binary())], schema=CONTEXTS)
+        docs, keys, needs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
+        for doc, key, t, own in zip(docs, keys, texts, needs, strict=True):
+            for need in own:
+                a, lo, hi = need["a"], need["lo"], need["hi"]
+                context = t[lo : hi + how.length]
+                met = seen.get((a, context))
+                if met is None:
+                    seen[a, context] = [doc, key, lo, hi, need["parts"], True]
+                    size += len(context)
+                    continue
+                if met[5]:
+                    met[5] = False
+                    settled(a, *met[:4])
+                settled(a, doc, key, lo, hi)
+            if size > how.held_bytes:
+                yield from flush()
+                size = 0
+        if rows:
+            yield emit()
+    yield from flush()
 
 
 class SuffixSorter:
@@ -245,8 +300,9 @@ class SuffixSorter:
         return next(k for k in range(n) if x[k] != y[k])
 
 
-def common_windows(group: list[int], contexts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """By context, the spans covered by windows that another context of its group has as well. Groups come together."""
+def common_windows(group: list[int], contexts: list[bytes], length: int, part: list[int] | None = None, parts: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """By context, the spans covered by windows that another context of its group has as well. Groups come together; of a group
+    that is dealt over several tasks, only the windows of this part count."""
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
     at = np.cumsum(sizes) - sizes
@@ -257,9 +313,11 @@ def common_windows(group: list[int], contexts: list[bytes], length: int) -> list
     n_win = np.maximum(sizes - length + 1, 0)
     owner = np.repeat(np.arange(len(contexts)), n_win)
     start = np.arange(int(n_win.sum())) - np.repeat(np.cumsum(n_win) - n_win, n_win) + at[owner]
-    h = prefix_hashes(np.frombuffer(data, np.uint8))
-    _, down = _powers.to(len(data) + 1)
-    key = _mixed((h[start + length] - h[start]) * down[start] ^ (np.asarray(group, np.int64)[owner].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    raw = _window_hashes(prefix_hashes(np.frombuffer(data, np.uint8)), start, length)
+    if parts is not None and max(parts) > 1:
+        mine = raw % np.asarray(parts, np.uint64)[owner] == np.asarray(part, np.uint64)[owner]
+        raw, start, owner = raw[mine], start[mine], owner[mine]
+    key = raw ^ (np.asarray(group, np.int64)[owner].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     again = np.zeros(len(order), bool)
@@ -310,24 +368,64 @@ def common_windows(group: list[int], contexts: list[bytes], length: int) -> list
     return out
 
 
+def equal_classes(contexts: list[bytes], sorter: SuffixSorter, at: list[int]) -> list[list[int]]:
+    """Contexts (at places `at` of the sorter's bytes) by classes of equal bytes: sorted by their hashes, neighbours verified."""
+    ends = {at[i]: i for i in range(len(contexts))}
+    order = [ends[s] for s, _ in sorter.sorted([(at[i], at[i] + len(c)) for i, c in enumerate(contexts)])]
+    out = [[order[0]]]
+    for x, y in zip(order, order[1:], strict=False):
+        n = len(contexts[x])
+        if n == len(contexts[y]) and sorter.common(at[x], at[y], n) == n and sorter.verified(at[x], at[y], n) == n:
+            out[-1].append(y)
+        else:
+            out.append([y])
+    return out
+
+
 def _resolve(how: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From contexts sorted by anchor, the spans of common windows; an anchor's contexts are held together."""
+    """From contexts sorted by anchor and part, the spans of common windows; settled spans pass."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        spans = common_windows([r[0] for r in rows], [r[4] for r in rows], how.length)
-        found = [(r[1], r[2], r[3] + a, r[3] + b) for r, own in zip(rows, spans, strict=True) for a, b in own]
+        found: list[tuple] = []
+        contexts = [r[9] for r in rows]
+        sorter, at = SuffixSorter(b"".join(contexts)), np.cumsum([0, *map(len, contexts)]).tolist()
+        mixed: list[tuple[int, list[int]]] = []
+        first = 0
+        while first < len(rows):
+            last = first + 1
+            while last < len(rows) and rows[last][1:3] == rows[first][1:3]:
+                last += 1
+            if last - first > 1:
+                classes = equal_classes(contexts[first:last], sorter, at[first:last])
+                for same in classes:
+                    if len(same) > 1:
+                        found += [(r[4], r[5], r[6], r[7] + how.length) for r in (rows[first + i] for i in same) if r[8]]
+                if len(classes) > 1:
+                    mixed += [(first, [first + i for i in same]) for same in classes]
+            first = last
+        # one context of each class; those of a class met already, so only lone ones wait for windows
+        lead = [same[0] for _, same in mixed]
+        spans = common_windows([g for g, _ in mixed], [contexts[i] for i in lead], how.length, [rows[i][2] for i in lead], [rows[i][3] for i in lead])
+        for (_, same), own in zip(mixed, spans, strict=True):
+            r = rows[same[0]]
+            if len(same) == 1 and r[8]:
+                found += [(r[4], r[5], r[6] + x, r[6] + y) for x, y in own]
         columns = list(zip(*found, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, SPANS, strict=True)], schema=SPANS)
 
     held: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size > 400_000 and row[0] != held[-1][0]:
+        done = batch.filter(batch.column(9).is_null())
+        if done.num_rows:
+            stop = np.asarray(done.column(7)) + how.length
+            yield pa.RecordBatch.from_arrays([done.column(4), done.column(5), done.column(6), pa.array(stop, pa.int32())], schema=SPANS)
+        for row in zip(*(c.to_pylist() for c in batch.filter(batch.column(9).is_valid()).columns), strict=True):
+            if size > 400_000 and row[1:3] != held[-1][1:3]:
                 yield settle(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[4])
+            size += len(row[9])
     if held:
         yield settle(held)
 
@@ -349,20 +447,12 @@ def row_spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     rows = map_arrow(texts, lambda batches: _anchor_rows(how, batches), ANCHORS)
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = map_arrow(rows, _found, FOUND).checkpoint()
-    border = found.filter("not full")
-    sizes = border.groupBy("a").count().filter("count > 1")
-    border = border.join(sizes, "a").select("a", "doc_id", "row_key", "lo", "hi", (F.col("count") > how.large_group).alias("large"))
-    need = border.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("a", "lo", "hi", "large")).alias("own"))
-    cut = _row_join(texts, need, "inner")
-    small = cut.withColumn("own", F.filter("own", lambda x: ~x["large"])).filter("size(own) > 0")
-    contexts = map_arrow(small, lambda batches: _cut_contexts(how, False, batches), CONTEXTS).repartition(parts, "a").sortWithinPartitions("a")
-    spans = map_arrow(contexts, lambda batches: _resolve(how, batches), SPANS)
-    large = cut.withColumn("own", F.filter("own", lambda x: x["large"])).filter("size(own) > 0")
-    windows = map_arrow(large, lambda batches: _cut_contexts(how, True, batches), WINDOWS)
-    common = windows.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-    spans = spans.unionByName(windows.join(common, ["w1", "w2"]).select("doc_id", "row_key", F.col("lo").alias("start"), (F.col("lo") + how.length).alias("stop")))
-    spans = spans.unionByName(found.filter("full").select("doc_id", "row_key", F.col("lo").alias("start"), (F.col("hi") + how.length).alias("stop")))
-    return _by_row(spans, "start", "stop")
+    # written out, so that the join below is one that Spark can split by a hot anchor's rows
+    wide = found.filter("first").groupBy("a").agg(F.ceil(F.count("*") / how.per_group).cast("int").alias("parts")).filter("parts > 1").checkpoint()
+    need = found.join(wide, "a", "left").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("a", "lo", "hi", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("own"))
+    contexts = map_arrow(_row_join(texts, need, "inner"), lambda batches: _contexts(how, batches), CONTEXTS)
+    contexts = contexts.repartition(parts, "deal").sortWithinPartitions("a", "part")
+    return _by_row(map_arrow(contexts, lambda batches: _resolve(how, batches), SPANS), "start", "stop")
 
 
 def with_spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
