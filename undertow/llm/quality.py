@@ -1,12 +1,15 @@
 """Quality rules from repetition: base counts, and a suffix array over each text's words.
 
-Maximal repeats are read off the longest-common-prefix intervals of a suffix array of word ids. Only suffixes whose first
-`window` words occur again in the same text can share that many words with another suffix, so only these are sorted; the
-others' common prefixes are shorter than `window`. Texts are handled in chunks of bounded size, many short texts at once;
-a document's index leads the sort key, so that no repeat crosses documents.
+The longest-common-prefix intervals of a suffix array of word ids give the maximal repeats: an interval's suffixes share its
+prefix, no longer one, and the words before them differ. The union of their spans is the covered part of a text, the longest of
+them its longest repeat; both have limits of their own, below those of the base rule. Repeats count from `shortest` words on.
+Only suffixes whose first `shortest` words occur again in the same text can share that many words with another suffix, so only
+these are sorted; the others' common prefixes are shorter. Texts are handled in chunks of bounded size, many short texts at
+once; a document's index leads the sort key, so that no repeat crosses documents. A very long text is a chunk of its own.
 
 Nulls and empty texts have no words: every count is 0 and base_failed is true. A text of one repeated word is one run whose
-windows all repeat. Repeated rows are judged on their own, one result each; other columns of the input are not read.
+windows all repeat. Repeated rows are judged on their own, one result each; so are ties, as documents never meet. An empty
+table gives no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -33,23 +36,24 @@ SCHEMA = pa.schema(
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits on a text. Repeats count from `window` words on.
+    """Limits on a text.
 
-    Maximal repeats cover the same words as repeated windows do, so max_covered_fraction decides only below max_repeat_percent:
-    12 % is the usual limit for repeated passages of 8 words. No passage over max_longest_repeat words may be said twice."""
+    window, min_words and max_repeat_percent are the base rule's. Maximal repeats count from `shortest` words on: they may cover
+    max_covered_fraction of the words, and none may be longer than max_longest_repeat words."""
 
     window: int = 8
+    shortest: int = 8
     min_words: int = 20
     max_repeat_percent: int = 30
     max_covered_fraction: float = 0.12
     max_longest_repeat: int = 50
 
 
-def _suffix_repeats(ids: np.ndarray, doc: np.ndarray, end: np.ndarray, dup: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position in `dup` (sorted), the longest prefix that its suffix shares with another suffix of its document.
+def _suffix_array(ids: np.ndarray, doc: np.ndarray, end: np.ndarray, dup: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, their order as suffixes, and the common prefixes of neighbours in that order, for positions that include `dup`.
 
-    ids, doc, end: by word, its id, its document and that document's end. Ranks by 8, 16, 32... words are kept, so that
-    the common prefix of neighbours in suffix order is found from the largest power down.
+    ids, doc, end: by word, its id, its document and that document's end. Ranks by window, twice the window, four times the
+    window... are kept, so that the common prefix of neighbours in suffix order is found from the largest power down.
     """
     n = len(ids)
     nxt = dup + window
@@ -120,10 +124,57 @@ def _suffix_repeats(ids: np.ndarray, doc: np.ndarray, end: np.ndarray, dup: np.n
         same = ok & (ids[np.where(ok, pa_, 0)] == ids[np.where(ok, pb_, 0)])
         alive &= same
         lcp += same
-    longest = np.zeros(len(pos), np.int64)
-    np.maximum.at(longest, a, lcp)
-    np.maximum.at(longest, b, lcp)
-    return pos, longest
+    return pos, order, lcp
+
+
+def maximal_repeats(before: np.ndarray, lcp: np.ndarray, shortest: int) -> np.ndarray:
+    """By suffix (in order), the length of the longest maximal repeat that begins there, or 0.
+
+    before: the word in front of each suffix, a value of its own where there is none. The intervals of lcp are a tree; one whose
+    suffixes all follow the same word is no maximal repeat, as it goes on to the left, and its suffixes are asked of its parent.
+    """
+    out = np.zeros(len(before), np.int64)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (lcp >= shortest).astype(np.int8), [0]])))
+    for first, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        common, words = lcp[first:stop].tolist(), before[first : stop + 1].tolist()
+        length, parent, diverse, word = [], [], [], []  # by interval
+        inner = [-1] * len(words)  # by suffix, its smallest interval
+        stack: list[int] = []
+
+        def meet(node: int, other, many: bool) -> None:
+            diverse[node] = diverse[node] or many or word[node] != other
+
+        for i, n in enumerate(common):
+            last = -1
+            while stack and length[stack[-1]] > n:
+                last = stack.pop()
+                if stack and length[stack[-1]] >= n:
+                    parent[last] = stack[-1]
+                    meet(stack[-1], word[last], diverse[last])
+            if not stack or length[stack[-1]] < n:
+                node = len(length)
+                length.append(n)
+                parent.append(-1)
+                if last >= 0:
+                    parent[last] = node
+                    diverse.append(diverse[last])
+                    word.append(word[last])
+                else:
+                    diverse.append(False)
+                    word.append(words[i])
+                    inner[i] = node
+                stack.append(node)
+            meet(stack[-1], words[i + 1], False)
+            inner[i + 1] = stack[-1]
+        while len(stack) > 1:
+            last = stack.pop()
+            parent[last] = stack[-1]
+            meet(stack[-1], word[last], diverse[last])
+        best = [0] * len(length)
+        for node in sorted(range(len(length)), key=length.__getitem__):  # parents are shorter
+            best[node] = length[node] if diverse[node] else best[parent[node]] if parent[node] >= 0 else 0
+        out[first : stop + 1] = [best[k] for k in inner]
+    return out
 
 
 def _covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
@@ -134,8 +185,8 @@ def _covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(diff[:-1]) > 0
 
 
-def repetition(words: list[list[bytes]], window: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By text: words in windows that occur again, words covered by maximal repeats of `window` words or more, the longest repeat."""
+def repetition(words: list[list[bytes]], window: int = 8, shortest: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text: words in windows that occur again, words covered by maximal repeats of `shortest` words or more, the longest repeat."""
     lens = np.fromiter(map(len, words), np.int64, len(words))
     n = int(lens.sum())
     zero = np.zeros(len(words), np.int64)
@@ -150,10 +201,11 @@ def repetition(words: list[list[bytes]], window: int = 8) -> tuple[np.ndarray, n
     rng = np.random.default_rng(12345)
     word_hash = rng.integers(1, 2**63, len(known), np.uint64) * np.uint64(2) + np.uint64(1)
     h, x = np.zeros(n, np.uint64), word_hash[ids]
-    for k in range(window):
+    least = min(window, shortest)
+    for k in range(least):
         h[: n - k] = h[: n - k] * np.uint64(0x9E3779B97F4A7C15) + x[k:] if n > k else h[:0]
     h ^= (doc.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    valid = np.flatnonzero(np.arange(n) + window <= end)
+    valid = np.flatnonzero(np.arange(n) + least <= end)
     order = valid[np.argsort(h[valid], kind="stable")]
     s = h[order]
     eq = s[1:] == s[:-1]
@@ -163,20 +215,26 @@ def repetition(words: list[list[bytes]], window: int = 8) -> tuple[np.ndarray, n
     dup = np.sort(order[twice])
     if not len(dup):
         return zero, zero.copy(), zero.copy()
-    pos, longest = _suffix_repeats(ids, doc, end, dup, window)
-    hit = longest >= window
-    pos, longest = pos[hit], longest[hit]
-    in_window = _covered(pos, np.full(len(pos), window), n)
-    in_repeat = _covered(pos, longest, n)
+    pos, order, lcp = _suffix_array(ids, doc, end, dup, least)
+    at = pos[order]
+    shared = np.zeros(len(at), np.int64)
+    shared[1:] = lcp
+    shared[:-1] = np.maximum(shared[:-1], lcp)
+    again = at[shared >= window]
+    in_window = _covered(again, np.full(len(again), window), n)
+    before = np.where((at > 0) & (doc[np.maximum(at, 1) - 1] == doc[at]), ids[np.maximum(at, 1) - 1], -1 - at)
+    length = maximal_repeats(before, lcp, shortest)
+    at, length = at[length > 0], length[length > 0]
+    in_repeat = _covered(at, length, n)
     most = zero.copy()
-    np.maximum.at(most, doc[pos], longest)
+    np.maximum.at(most, doc[at], length)
     return np.bincount(doc[in_window], minlength=len(words)), np.bincount(doc[in_repeat], minlength=len(words)), most
 
 
 def _judge(rules: Rules, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in by_chunks(batches):
         words = [t.split() for t in texts]
-        repeat, covered, longest = repetition(words, rules.window)
+        repeat, covered, longest = repetition(words, rules.window, rules.shortest)
         n_words = np.fromiter(map(len, words), np.int64, len(words))
         chars, symbols, dup_lines = [], [], []
         for t in texts:
