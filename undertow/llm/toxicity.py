@@ -1,21 +1,29 @@
 """A counterfactually regularised toxicity classifier: sparse logistic regression on words and word beginnings.
 
-Training sentences that name a group are paired with a copy in which each identity term is swapped for another one; the
-squared change of the score between the two is penalised, so a neutral mention of a group moves the score little. An L1
-penalty keeps the weights of ordinary words at zero, so a long clean text doesn't add up to a high score.
+Training sentences that name a group are paired with a copy in which each identity term is swapped for another one of its kind;
+the squared change of the score between the two is penalised, so a neutral mention of a group moves the score little. Terms are
+given by language and swapped in all of them. A sentence that names no group gets a term put in, a different one in its copy, so
+that what the terms' beginnings share with ordinary words is penalised as well; both kinds of pairs count alike as kinds,
+however many there are. A pair is kept as what differs between its sides. `Model.pairs` says how many there were, by kind and
+language; a fit without any raises an error. An L1 penalty keeps the weights of ordinary words at zero, so a long clean text
+doesn't add up to a high score.
 
 The model is fitted on at most about `max_train` labelled rows (chosen by a hash of doc_id, so the choice doesn't depend on
-the tables' order); rows whose crc32(doc_id as text) mod 3 is 1 are never learned from. Every document is scored, on its
-whole text, from the set of its words; labels, lang, source and doc_id are not inputs of a score.
-
-Nulls and empty texts score the model's intercept. Repeated rows score alike. Labels that are null or conflict for one
-doc_id are taken by their maximum. Without labels of both classes every score is the share of toxic labels (0 if none).
+the tables' order), one for a doc_id, with `max_features` features each at most; rows whose crc32(doc_id as text) mod 3 is 1 are
+never learned from. Every document is scored, on its whole text, from the set of its words; labels, lang, source and doc_id are
+not inputs of a score.
+
+Nulls and empty texts score the model's intercept. Repeated rows score alike; of labelled rows that share a doc_id one is learned
+from, the one whose text has the smallest hash. Labels that conflict for one doc_id are taken by their maximum, null labels
+count for nothing. Without labels of both classes every score is the share of toxic labels (0 if none). An empty table gives no
+rows. Columns other than doc_id and text, and doc_id, toxic of the labels, are not read.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,26 +33,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm.common import by_chunks, doc_texts, map_arrow, with_columns
-
-#: Words that name groups of people, by kind; a term is swapped within its kind.
-IDENTITY_TERMS = (
-    ("woman", "man", "person"),
-    ("women", "men", "people"),
-    ("girl", "boy"),
-    ("girls", "boys"),
-    ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("immigrant", "native", "refugee", "foreigner"),
-    ("immigrants", "natives", "refugees", "foreigners"),
-    ("old", "young", "elderly"),
-    ("blind", "deaf", "disabled"),
-)
+from undertow.llm.common import by_chunks, doc_texts, keyed_texts, map_arrow, with_columns
+
+#: Words that name groups of people, by language and kind; a term is swapped within its kind.
+IDENTITY_TERMS = {
+    "en": (
+        ("woman", "man", "person"),
+        ("women", "men", "people"),
+        ("girl", "boy"),
+        ("girls", "boys"),
+        ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
+        ("black", "white", "asian", "latino", "african", "european"),
+        ("immigrant", "native", "refugee", "foreigner"),
+        ("immigrants", "natives", "refugees", "foreigners"),
+        ("old", "young", "elderly"),
+        ("blind", "deaf", "disabled"),
+    ),
+    "de": (
+        ("frau", "mann", "person"),
+        ("frauen", "männer", "menschen"),
+        ("schwul", "lesbisch", "hetero", "queer"),
+        ("muslim", "christ", "jude", "hindu", "buddhist", "atheist"),
+        ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+        ("schwarze", "weiße", "asiaten", "europäer", "afrikaner"),
+        ("einwanderer", "ausländer", "flüchtling", "einheimischer"),
+        ("blind", "taub", "behindert"),
+    ),
+    "fr": (
+        ("femme", "homme", "personne"),
+        ("femmes", "hommes", "gens"),
+        ("gay", "lesbienne", "hétéro", "bisexuel", "transgenre"),
+        ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+        ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+        ("noirs", "blancs", "asiatiques", "africains", "européens"),
+        ("immigré", "étranger", "réfugié", "autochtone"),
+        ("aveugle", "sourd", "handicapé"),
+    ),
+    "es": (
+        ("mujer", "hombre", "persona"),
+        ("mujeres", "hombres", "gente"),
+        ("gay", "lesbiana", "heterosexual", "bisexual", "transgénero"),
+        ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+        ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+        ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+        ("inmigrante", "extranjero", "refugiado", "nativo"),
+        ("ciego", "sordo", "discapacitado"),
+    ),
+}
 
 SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-TRAIN_SCHEMA = pa.schema([("label", pa.int64()), ("features", pa.binary()), ("swapped", pa.binary())])
+TRAIN_SCHEMA = pa.schema(
+    [("doc_id", pa.int64()), ("row_key", pa.int64()), ("label", pa.int64()), ("features", pa.binary()), ("gone", pa.binary()), ("come", pa.binary()), ("natural", pa.bool_()), ("language", pa.string())]
+)
 
 
 @dataclass(frozen=True)
@@ -58,7 +100,8 @@ class Toxicity:
     positive_weight: float = 10.0
     rounds: int = 200
     min_documents: int = 3
-    identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS
+    max_features: int = 8_000
+    identity_terms: dict[str, tuple[tuple[str, ...], ...]] = field(default_factory=lambda: IDENTITY_TERMS)
 
 
 @dataclass
@@ -66,6 +109,8 @@ class Model:
     weights: np.ndarray
     intercept: float
     how: Toxicity = field(default_factory=Toxicity)
+    #: (named in the text, language) -> pairs that the fit was penalised for
+    pairs: dict[tuple[bool, str], int] = field(default_factory=dict)
 
 
 STRIP = ".,;:!?\"'()[]{}<>*_-"
@@ -82,24 +127,54 @@ def features_of(word: str, how: Toxicity) -> list[int]:
     return out
 
 
-def _swaps(how: Toxicity) -> dict[str, str]:
-    return {t: kind[(i + 1) % len(kind)] for kind in how.identity_terms for i, t in enumerate(kind)}
+class Swapper:
+    """Counterfactual pairs of a text's words: each term swapped for another of its kind, or a term put in."""
+
+    def __init__(self, terms: dict[str, tuple[tuple[str, ...], ...]]):
+        self.kinds = [(lang, kind) for lang, kinds in terms.items() for kind in kinds if len(kind) > 1]
+        self.of: dict[str, tuple[str, tuple[str, ...]]] = {}
+        for lang, kind in self.kinds:
+            for t in kind:
+                self.of.setdefault(t, (lang, kind))
+
+    def __call__(self, words: set[str], seed: int) -> tuple[set[str], set[str], bool, str] | None:
+        """Both sides, whether the text itself named a group, and the language of the terms."""
+        named = sorted(words & self.of.keys())
+        if named:
+            other = set()
+            for w in named:
+                kind = self.of[w][1]
+                other.add(kind[(kind.index(w) + 1 + seed % (len(kind) - 1)) % len(kind)])
+            return words, (words - set(named)) | other, True, self.of[named[0]][0]
+        if not self.kinds:
+            return None
+        lang, kind = self.kinds[seed % len(self.kinds)]
+        i = seed // len(self.kinds) % len(kind)
+        return words | {kind[i]}, words | {kind[(i + 1) % len(kind)]}, False, lang
 
 
-def _pack(words: set[str], how: Toxicity) -> bytes:
-    return np.unique(np.array([f for w in words for f in features_of(w, how)], "<u4")).tobytes()
+def _pack(words: set[str], how: Toxicity) -> np.ndarray:
+    return np.unique(np.array([f for w in words for f in features_of(w, how)], "<u4"))
 
 
 def _featurise(how: Toxicity, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    swap = _swaps(how)
+    swap = Swapper(how.identity_terms)
     for batch, texts in by_chunks(batches):
-        feats, swapped = [], []
+        rows = []
         for t in texts:
             words = words_of(t)
-            feats.append(_pack(words, how))
-            named = words & swap.keys()
-            swapped.append(_pack((words - named) | {swap[w] for w in named}, how) if named else None)
-        yield with_columns(batch, ["label"], TRAIN_SCHEMA, features=feats, swapped=swapped)
+            own = _pack(words, how)
+            pair = swap(words, zlib.crc32(t))
+            gone = come = np.zeros(0, "<u4")
+            natural, lang = False, None
+            if pair:
+                x, y, natural, lang = pair
+                a, b = own if natural else np.union1d(own, _pack(x - words, how)), np.union1d(_pack(y - words, how), _pack(words & y, how) if natural else own)
+                gone, come = np.setdiff1d(a, b), np.setdiff1d(b, a)
+            # features are hashes, so the smallest ones are a fair choice
+            rows.append((own[: how.max_features].tobytes(), gone.astype("<u4").tobytes(), come.astype("<u4").tobytes(), natural, lang))
+        features, gone, come, natural, lang = zip(*rows, strict=True)
+        yield with_columns(batch, ["doc_id", "row_key", "label"], TRAIN_SCHEMA, features=features, gone=gone, come=come, natural=natural, language=lang)
 
 
 def held_out_column(doc_id: str = "doc_id"):
@@ -107,15 +182,21 @@ def held_out_column(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, how: Toxicity) -> DataFrame:
-    """(label, features, swapped) of about max_train labelled documents at most, none of them held out."""
+    """One row for each of about max_train labelled documents at most, none of them held out: label, features, and its pair."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("label")).filter("doc_id is not null and label is not null")
     own = own.filter(~held_out_column()).groupBy("doc_id").agg(F.max("label").alias("label"))
     total = max(own.count(), 1)
     if total > how.max_train:
         own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * how.max_train / total))
     # at most about max_train pairs of numbers: small enough for every executor
-    rows = doc_texts(docs).join(F.broadcast(own), "doc_id").select("label", "text")
-    return map_arrow(rows, lambda batches: _featurise(how, batches), TRAIN_SCHEMA)
+    own = F.broadcast(own)
+    texts = keyed_texts(docs).join(own, "doc_id")
+    # of rows that repeat a doc_id, one: only keys are moved for that, and only of the sample
+    first = texts.groupBy("doc_id").agg(F.min("row_key").alias("row_key"))
+    texts = texts.join(F.broadcast(first), ["doc_id", "row_key"]).select("doc_id", "row_key", "label", "text")
+    rows = map_arrow(texts, lambda batches: _featurise(how, batches), TRAIN_SCHEMA)
+    # equal rows are alike, so any of them
+    return rows.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in TRAIN_SCHEMA.names[2:]))
 
 
 class _Rows:
@@ -154,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
     """Accelerated proximal gradient on the driver, over the bounded sample."""
     rows = training_rows(docs, labels, how).toArrow()
     y = rows.column("label").to_numpy().astype(float)
-    packed, swapped = rows.column("features").to_pylist(), rows.column("swapped").to_pylist()
+    packed, gone, come = (rows.column(c).to_pylist() for c in ("features", "gone", "come"))
+    natural, language = rows.column("natural").to_pylist(), rows.column("language").to_pylist()
     del rows
     size = 1 << how.hash_bits
     if not len(y) or y.min() == y.max():
@@ -170,12 +252,17 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
     scale = 1 / np.sqrt(df[used] / len(y))
     scale = np.minimum(scale, np.sqrt(len(y) / 50))
     x = _Rows(packed, column_of, scale)
-    pairs = [i for i, s in enumerate(swapped) if s is not None]
-    x0, x1 = (_Rows([src[i] for i in pairs], column_of, scale) for src in (packed, swapped))
+    pairs = [i for i, lang in enumerate(language) if lang]
+    counts = Counter((natural[i], language[i]) for i in pairs)
+    if how.swap_penalty and not pairs:
+        raise ValueError("no counterfactual pairs: no identity terms are given")
+    # what a pair's sides differ in; kinds of pairs count alike, however many pairs each has
+    x0, x1 = (_Rows([src[i] for i in pairs], column_of, scale) for src in (gone, come))
+    by_kind = Counter(natural[i] for i in pairs)
+    half = np.array([how.swap_penalty / by_kind[natural[i]] for i in pairs])
     weight = np.where(y > 0, how.positive_weight, 1.0)
     weight /= weight.sum()
-    half = how.swap_penalty / max(len(pairs), 1)
-    del packed, swapped
+    del packed, gone, come
 
     def slope(w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
         r = weight * (1 / (1 + np.exp(-np.clip(x.dot(w) + b, -40, 40))) - y)
@@ -209,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Toxicity = Toxicity()) -> Model
         w, b, t = nw, nb, nt
     full = np.zeros(size)
     full[used] = w * scale
-    return Model(full, b, how)
+    return Model(full, b, how, dict(counts))
 
 
 class Scorer:
