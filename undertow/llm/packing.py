@@ -1,13 +1,15 @@
 """Vector bin packing of token pieces under limits on tokens, segments and loss-bearing tokens.
 
-A document becomes its token ids and one end id. Pieces of `max_tokens` ids are cut from its front as full sequences; the
-rest is one piece of an open bin. Bins are filled within blocks of bounded size, inside the task that tokenised them, so
-nothing but the input is moved: of all pieces that fit, the one whose vector (tokens, segments, loss) has the largest dot
-product with the room left comes next. What a block's last, half-filled bin holds goes on to the next block; only a task's
-last bins may stay short.
-
-Nulls and empty texts are one piece, the end id. Repeated rows are packed each. Sequence ids are unique, not dense: they
-hold the task's number in their upper bits. Other columns of the input are not read.
+A document becomes the ids of its prompt (if a column holds one; a prompt bears no loss), those of its text and one end id.
+Pieces that reach a limit on their own, tokens or loss-bearing ones, are cut from its front; the rest is one piece of an open
+bin. Bins are filled within blocks of bounded size, inside the task that tokenised them, so nothing but the input is moved: of
+all pieces that fit, the one whose vector (tokens, segments, loss) has the largest dot product with the room left comes next.
+What a block's last, half-filled bin holds goes on to the next block; only a task's last bins may stay short.
+
+Nulls and empty texts are one piece, the end id; a null prompt is empty. Very long texts are cut into as many pieces as they
+need. Repeated rows are packed each; pieces alike are interchangeable, so ties between them don't matter. Sequence ids are
+unique, not dense: they hold the task's number in their upper bits. An empty table gives no rows. Other columns of the input are
+not read.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from undertow.llm.common import by_chunks, doc_texts, map_arrow
+from undertow.llm.common import by_chunks, doc_texts, map_arrow, text_or_empty
 
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")])
 
@@ -43,7 +46,8 @@ class WordEncoder:
     The vocabulary's pre-tokens never hold white space and its normaliser (NFC, white space to a blank, lower case) works
     within words, so the ids of a text are those of its words between ASCII white space. Words of Latin letters, digits and
     signs are merged by tiktoken's kernel, which is several times faster: the file's merges become ranks, and the end of a
-    word the byte FF, which UTF-8 lacks and which joins its neighbour first. Other words go to the `tokenizers` library.
+    word the byte FF, which UTF-8 lacks and which joins its neighbour first. Other words go to the `tokenizers` library, and so
+    do words with the mark that begins the file's special strings, which the library gives ids of their own.
     """
 
     END = b"\xff"
@@ -56,7 +60,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         model = json.loads(self.tokenizer.to_str())["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         # the byte-level alphabet: printable bytes stand for themselves, others for code points from 256 on
@@ -82,6 +85,8 @@ class WordEncoder:
 
     def word(self, w: bytes) -> bytes:
         s = w.decode("utf-8", "replace")
+        if "<|" in s:
+            return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
         table = self.bytes_of
         if s.isascii():
             s = s.lower()
@@ -161,32 +166,36 @@ class Packer:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def _pack(path: str, end_id: int, limits: Limits, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(path: str, end_id: int, limits: Limits, prompted: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
     packer = Packer(limits, TaskContext.get().partitionId() << 40)
     end = np.array([end_id], "<u4").tobytes()
-    most = min(limits.max_tokens, limits.max_loss_tokens)
 
     def rows(placed: Iterator) -> pa.RecordBatch:
         cols = [[] for _ in SCHEMA]
-        for sequence, offset, (doc, start, length, crc, total) in placed:
-            for c, v in zip(cols, (doc, start, length, crc, total, sequence, offset, length), strict=True):
+        for sequence, offset, (doc, start, length, crc, total, loss) in placed:
+            for c, v in zip(cols, (doc, start, length, crc, total, sequence, offset, loss), strict=True):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=SCHEMA)
 
     waiting: list[tuple[int, int, object]] = []
     for batch, texts in by_chunks(batches):
         full = []
-        for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-            ids += end
-            total = len(ids) // 4
-            for start in range(0, total, most):
-                part = ids[4 * start : 4 * (start + most)]
-                piece = (doc, start, len(part) // 4, zlib.crc32(part), total)
-                if piece[2] == most:
+        before = encoder.encode([p.encode("utf-8", "surrogatepass") for p in batch.column(2).to_pylist()]) if prompted else [b""] * len(texts)
+        for doc, head, ids in zip(batch.column(0).to_pylist(), before, encoder.encode(texts), strict=True):
+            ids = head + ids + end
+            total, from_here = len(ids) // 4, len(head) // 4
+            start = 0
+            while start < total:
+                stop = min(total, start + limits.max_tokens, max(start, from_here) + limits.max_loss_tokens)
+                part = ids[4 * start : 4 * stop]
+                loss = max(stop - max(start, from_here), 0)
+                piece = (doc, start, stop - start, zlib.crc32(part), total, loss)
+                if stop - start == limits.max_tokens or loss == limits.max_loss_tokens and not prompted:
                     full.append((packer.take(), 0, piece))
                 else:
-                    waiting.append((piece[2], piece[2], piece))
+                    waiting.append((stop - start, loss, piece))
+                start = stop
         if full:
             yield rows(iter(full))
         while len(waiting) >= limits.block_pieces:
@@ -195,6 +204,8 @@ def _pack(path: str, end_id: int, limits: Limits, batches: Iterator[pa.RecordBat
     yield rows(packer.pack(waiting, last=True))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits()) -> DataFrame:
-    """One row per piece: its document, place there, CRC of its ids, and its sequence and offset. Every token bears loss."""
-    return map_arrow(doc_texts(docs), lambda batches: _pack(tokenizer_path, end_id, limits, batches), SCHEMA)
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, limits: Limits = Limits(), prompt: str | None = None) -> DataFrame:
+    """One row per piece: its document, place there, CRC of its ids, its sequence and offset, and its loss-bearing tokens: all
+    of them, or where `prompt` names a column of instructions, those that follow these."""
+    texts = doc_texts(docs) if prompt is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), text_or_empty(prompt).alias("prompt"))
+    return map_arrow(texts, lambda batches: _pack(tokenizer_path, end_id, limits, prompt is not None, batches), SCHEMA)
