@@ -1,14 +1,19 @@
 """Byte-level BPE by a shuffle of distinct words: every distinct pre-token of the corpus is encoded once.
 
-1. Each task cuts its texts into pre-tokens and explodes them by block (some megabytes of documents): a block's distinct words
-   are dealt into buckets by hash, and each document becomes the sequence of its words' places in the block.
-2. Buckets are shuffled: all blocks' words of one bucket meet in one task, which encodes each distinct word once. Rows are
-   packed (sorted words, or their ids, compressed), so a common word costs one entry a block, never one a document.
-3. The ids go back to their blocks, where the sequences put them together by position. Decoding joins the table of token bytes,
-   whose size is the vocabulary's.
+1. One pass cuts the texts into pre-tokens and explodes them by block (some megabytes of documents): a block's distinct words
+   get places by falling frequency and are dealt into buckets by hash, and each document becomes the sequence of its words'
+   places. Rows are sorted by their content's hash first, so a task that is run again makes the same blocks and places from the
+   same rows, in whatever order they come.
+2. One shuffle takes words to their buckets and sequences to their blocks. All blocks' words of one bucket meet in one task,
+   which encodes each distinct word once. Rows are packed (words, or their ids, compressed), so a common word costs one entry a
+   block, never one a document. There are as many buckets as the shuffle has partitions, twice.
+3. A second shuffle joins the ids back to their blocks, where the sequences put them together by position; that every bucket has
+   come with as many words as the block dealt to it is checked. Decoding joins the table of token bytes on the id; the table has
+   the vocabulary's size, so each task holds it sorted by id. `decode` is the same join for ids that come from elsewhere.
 
 Null and empty texts have no tokens and decode to nothing. Repeated rows are encoded alike. Order within a text is by position;
-ties don't occur. Very long texts make a block of their own. Other columns of the input are not read.
+ties don't occur. Very long texts make a block of their own. An empty table gives no rows. Other columns of the input are not
+read.
 """
 
 from __future__ import annotations
@@ -21,14 +26,16 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undertow.llm.common import by_chunks, doc_texts, map_arrow
+from undertow.llm.common import by_chunks, keyed_texts, map_arrow
 
-WORDS = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
-SEQUENCES = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
+#: Words or ids of a block's bucket (bucket from 0 on), the buckets of its places (BUCKETS), or one document's places (PLACES).
+ROWS = pa.schema([("deal", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
+BUCKETS, PLACES = -1, -2
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -38,12 +45,13 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 
 @dataclass(frozen=True)
 class ByteBPE:
-    """The ranks' file and the pattern of pre-tokens; block_bytes of text share one table of words."""
+    """The ranks' file and the pattern of pre-tokens; block_bytes of text share one table of words. Buckets: twice as many as the
+    shuffle's partitions unless given."""
 
     path: str
     pattern: str
     block_bytes: int = 12_000_000
-    buckets: int = 64
+    buckets: int | None = None
 
 
 class Splitter:
@@ -81,7 +89,7 @@ class _Places(dict):
 
 
 def _blocks(how: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes], dict[str, int], np.ndarray]]:
-    """(block, doc_ids, sequences, places): the same blocks each time the same rows come."""
+    """(block, doc_ids, sequences, places as words came)."""
     part, number = TaskContext.get().partitionId(), 0
     split = Splitter(how.pattern)
 
@@ -105,49 +113,49 @@ def _blocks(how: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[i
         yield (part << 32) + number, ids, seqs, places
 
 
-def _order(places: dict[str, int], buckets: int) -> tuple[list[list[bytes]], np.ndarray]:
-    """Words by bucket, and by place its word's rank in the order (bucket, word)."""
-    words = [w.encode("utf-8", "surrogatepass") for w in places]
-    bucket = [zlib.crc32(w) % buckets for w in words]
-    order = sorted(range(len(words)), key=lambda i: (bucket[i], words[i]))
-    rank = np.empty(len(words), np.uint32)
-    rank[order] = np.arange(len(words), dtype=np.uint32)
-    by = [[] for _ in range(buckets)]
-    for i in order:
-        by[bucket[i]].append(words[i])
-    return by, rank
-
-
 def _lengths(a: list[int] | np.ndarray) -> bytes:
     return np.asarray(a, "<u4").tobytes()
 
 
-def _word_rows(how: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _planes(numbers: np.ndarray) -> bytes:
+    """The first bytes of all 32-bit numbers, then the second ones...: they compress far better than mixed."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    press = zstandard.ZstdCompressor(level=3).compress
-    for block, _, _, places in _blocks(how, batches):
-        by, _ = _order(places, how.buckets)
-        rows = [(b, block, len(w), press(_lengths([len(x) for x in w]) + b"".join(w))) for b, w in enumerate(by) if w]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), WORDS, strict=True)], schema=WORDS)
+
+def _numbers(planes: bytes, offset: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8, offset=offset).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _sequence_rows(how: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split_rows(how: ByteBPE, buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=3).compress
     for block, ids, seqs, places in _blocks(how, batches):
-        # frequent words get small numbers within a document's bytes: places are in order of first use
-        _, rank = _order(places, how.buckets)
+        words = [w.encode("utf-8", "surrogatepass") for w in places]
+        came = [np.frombuffer(s, "<u4") for s in seqs]
+        often = np.zeros(len(words), np.int64)
+        for c in came:
+            np.add.at(often, c, 1) if len(c) < 64 else np.add(often, np.bincount(c, minlength=len(words)), out=often)
+        often = often.tolist()
+        order = sorted(range(len(words)), key=lambda i: (-often[i], words[i]))
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        words = [words[i] for i in order]
+        bucket = [zlib.crc32(w) % buckets for w in words]
+        dealt: dict[int, list[bytes]] = {}
+        for b, w in zip(bucket, words, strict=True):
+            dealt.setdefault(b, []).append(w)
+        rows = [(b, block, b, None, len(w), press(_lengths([len(x) for x in w]) + b"".join(w))) for b, w in dealt.items()]
+        deal = buckets + block
+        rows.append((deal, block, BUCKETS, None, len(bucket), press(_planes(np.array(bucket, "<u4")))))
+        yield _batch(rows, ROWS)
         for at in range(0, len(ids), 500):
-            some = seqs[at : at + 500]
-            data = []
-            for s in some:
-                # the four bytes of all numbers one after another compress far better than mixed
-                data.append(press(np.ascontiguousarray(rank[np.frombuffer(s, "<u4")].view(np.uint8).reshape(-1, 4).T).tobytes()))
-            columns = [[block] * len(some), ids[at : at + 500], [len(s) // 4 for s in some], data]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEQUENCES, strict=True)], schema=SEQUENCES)
+            yield _batch([(deal, block, PLACES, doc, len(c), press(_planes(place[c]))) for doc, c in zip(ids[at : at + 500], came[at : at + 500], strict=True)], ROWS)
 
 
 _kernels: dict[str, object] = {}
@@ -165,14 +173,16 @@ def kernel(path: str):
 
 
 def _encode(how: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed words to packed ids; a word is encoded at its first appearance in the task."""
+    """Packed words to packed ids; a word is encoded at its first appearance in the task. Other rows pass."""
     import zstandard
 
     press, expand = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
     encode, known = kernel(how.path)[0], {}
     for batch in batches:
+        of_words = pc.greater_equal(batch.column(2), 0)
+        yield batch.filter(pc.invert(of_words))
         rows = []
-        for bucket, block, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for deal, block, bucket, _, n, data in zip(*(c.to_pylist() for c in batch.filter(of_words).columns), strict=True):
             raw = expand(data)
             ends = np.cumsum(np.frombuffer(raw, "<u4", n)).tolist()
             raw, start, lens, out = raw[4 * n :], 0, [], []
@@ -186,10 +196,8 @@ def _encode(how: ByteBPE, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 lens.append(len(ids) // 4)
                 out.append(ids)
                 start = end
-            flat = np.frombuffer(b"".join(out), np.uint8).reshape(-1, 4).T
-            rows.append((bucket, block, n, press(_lengths(lens) + np.ascontiguousarray(flat).tobytes())))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), WORDS, strict=True)], schema=WORDS)
+            rows.append((deal, block, bucket, None, n, press(_lengths(lens) + _planes(np.frombuffer(b"".join(out), "<u4")))))
+        yield _batch(rows, ROWS)
 
 
 def _gather(start: np.ndarray, length: np.ndarray, flat: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -202,43 +210,69 @@ def _gather(start: np.ndarray, length: np.ndarray, flat: np.ndarray, pick: np.nd
     return flat[np.arange(ends[-1]) + shift]
 
 
-def _assemble(how: ByteBPE, digests: bool, words: pa.Table, seqs: pa.Table) -> pa.Table:
+def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of token bytes by id: start, length, all bytes; kept by the worker."""
+    if ("table", path) not in _kernels:
+        by_id = {i: b for b, i in kernel(path)[1].items()}
+        table = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        length = np.array([len(b) for b in table], np.int64)
+        _kernels["table", path] = (np.cumsum(length) - length, length, np.frombuffer(b"".join(table), np.uint8))
+    return _kernels["table", path]
+
+
+def _assemble(how: ByteBPE, digests: bool, block: pa.Table) -> pa.Table:
     """A block's documents from its words' ids."""
     import zstandard
 
     expand = zstandard.ZstdDecompressor().decompress
-    lens, flats = [], []
-    for _, n, data in sorted(zip(words.column("bucket").to_pylist(), words.column("n").to_pylist(), words.column("data").to_pylist(), strict=True)):
+    kind = block.column("bucket").combine_chunks()
+    words, seqs = block.filter(pc.greater_equal(kind, 0)), block.filter(pc.equal(kind, PLACES))
+    bucket_of = _numbers(expand(block.filter(pc.equal(kind, BUCKETS)).column("data")[0].as_py()))
+    # a bucket's words are in the order of their places
+    mine, where = np.argsort(bucket_of, kind="stable"), np.bincount(bucket_of, minlength=1)
+    lens, flats, came = [], [], np.zeros(len(where), np.int64)
+    for b, n, data in sorted(zip(words.column("bucket").to_pylist(), words.column("n").to_pylist(), words.column("data").to_pylist(), strict=True)):
         raw = expand(data)
+        came[b] += n
         lens.append(np.frombuffer(raw, "<u4", n).astype(np.int64))
-        flats.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=4 * n).reshape(4, -1).T).view("<u4").ravel())
-    length = np.concatenate(lens) if lens else np.zeros(0, np.int64)
-    flat = np.concatenate(flats) if flats else np.zeros(0, "<u4")
+        flats.append(_numbers(raw, 4 * n))
+    if not np.array_equal(came, where):
+        raise ValueError("a block's words and sequences don't belong together")
+    length, flat = np.concatenate([np.zeros(0, np.int64), *lens]), np.concatenate([np.zeros(0, "<u4"), *flats])
     start = np.cumsum(length) - length
-    ranks = kernel(how.path)[1]
-    if ("table", how.path) not in _kernels:
-        by_id = {i: b for b, i in ranks.items()}
-        _kernels["table", how.path] = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
-    table = _kernels["table", how.path]
+    by_place = np.empty((2, len(mine)), np.int64)
+    by_place[0, mine], by_place[1, mine] = start, length
+    start, length = by_place
+    table = _token_bytes(how.path)
     rows = []
-    for doc, n, data in zip(seqs.column("doc_id").to_pylist(), seqs.column("n").to_pylist(), seqs.column("data").to_pylist(), strict=True):
-        pick = np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(4, n).T).view("<u4").ravel()
-        ids = _gather(start, length, flat, pick)
-        raw, text = ids.astype("<u4").tobytes(), b"".join(map(table.__getitem__, ids.tolist()))
+    for doc, data in zip(seqs.column("doc_id").to_pylist(), seqs.column("data").to_pylist(), strict=True):
+        ids = _gather(start, length, flat, _numbers(expand(data)))
+        raw, text = ids.astype("<u4").tobytes(), _gather(*table, ids).tobytes()
         rows.append((doc, len(ids), sha256(raw).hexdigest(), sha256(text).hexdigest()) if digests else (doc, len(ids), raw, text))
-    schema = DIGESTS if digests else OUT
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
-    return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return pa.Table.from_batches([_batch(rows, DIGESTS if digests else OUT)])
 
 
 def encode_decode(docs: DataFrame, how: ByteBPE, digests: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) per document, ids as little-endian unsigned 32-bit numbers; or their SHA-256."""
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = doc_texts(docs)
-    words = map_arrow(texts, lambda batches: _word_rows(how, batches), WORDS).repartition(parts, "bucket")
-    ids = map_arrow(words, lambda batches: _encode(how, batches), WORDS)
-    seqs = map_arrow(texts, lambda batches: _sequence_rows(how, batches), SEQUENCES)
-    return ids.groupBy("block").cogroup(seqs.groupBy("block")).applyInArrow(lambda w, s: _assemble(how, digests, w, s), from_arrow_schema(DIGESTS if digests else OUT))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = how.buckets or 2 * parts
+    texts = keyed_texts(docs).select("doc_id", "text", "row_key").sortWithinPartitions("row_key", "doc_id").select("doc_id", "text")
+    rows = map_arrow(texts, lambda batches: _split_rows(how, buckets, batches), ROWS).repartition(parts, "deal")
+    rows = map_arrow(rows, lambda batches: _encode(how, batches), ROWS)
+    return rows.groupBy("block").applyInArrow(lambda block: _assemble(how, digests, block), from_arrow_schema(DIGESTS if digests else OUT))
+
+
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """(id, token): the bytes of each id of a ranks' file."""
+    return spark.createDataFrame([(i, bytearray(b)) for b, i in kernel(path)[1].items()], "id long, token binary")
+
+
+def decode(rows: DataFrame, tokens: DataFrame, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """(key, decoded): the bytes of an array of ids per row, by a join on the id. Null or empty arrays give no bytes, an id that
+    the table lacks gives none; keys that repeat, nulls included, give a row each."""
+    own = rows.select(F.col(key).alias("key"), F.col(ids).alias("ids")).withColumn("row", F.monotonically_increasing_id())
+    each = own.select("row", "key", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(tokens.select("id", F.hex("token").alias("hex"))), "id", "left")
+    joined = each.groupBy("row").agg(F.first("key").alias(key), F.sort_array(F.collect_list(F.struct("at", "hex"))).alias("own"))
+    return joined.select(key, F.unhex(F.array_join(F.transform("own", lambda x: x["hex"]), "")).alias("decoded"))
