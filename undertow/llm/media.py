@@ -2,17 +2,19 @@
 
 HTML events yield each page's ordered items: text, or a reference to a medium by the SHA-256 of its payload, with its caption.
 A store holds each payload once, as a greyscale PNG of 8-bit samples 24 wide (lossless; equal payloads have equal files), and
-is joined to the references by digest, so position and caption stay with the medium. Copies meet in the store before they are
-moved: a digest is encoded and shuffled once for each task that has it.
+is joined to the references by digest; text items are not moved for that. Both come together again as one array of structs per
+page, in page order, so positions and captions stay aligned with the media. Copies meet in the store before they are moved: a
+digest is encoded and shuffled once for each task that has it.
 
 Payloads are UTF-8 texts padded with bytes 255, which UTF-8 never holds, to a positive multiple of 576. Null or empty texts
-are one block of padding. Repeated rows have references of their own to one stored payload. A reference whose digest is not
-in the store keeps its place with a null medium. Other columns of the input are not read.
+are one block of padding. Repeated rows have sequences of their own that refer to one stored payload; rows that share an id
+but not the page are pages of their own. A reference whose digest is not in the store keeps its place with a null medium; a page
+without items (null, empty) has no sequence. Very long texts are one medium each. Ties don't occur, as positions differ. Empty
+tables give no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import html as html_lib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,7 +31,7 @@ from undertow.llm.common import by_chunks, doc_texts, map_arrow, text_or_empty
 BLOCK, WIDTH, PAD = 576, 24, b"\xff"
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
 
-ITEMS = pa.schema([("page_id", pa.int64()), ("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+ITEMS = pa.schema([("page_id", pa.int64()), ("page_key", pa.int64()), ("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 STORE = pa.schema([("digest", pa.string()), ("media", pa.binary())])
 FEATURES = pa.schema(
     [("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
@@ -133,33 +135,34 @@ def items_of(html: str) -> list[list]:
 
 
 def items(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
-    """(page_id, position, kind, text, digest, caption) in page order."""
+    """(page_id, page_key, position, kind, text, digest, caption) in page order; page_key tells pages that share an id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_chunks(batches, "html"):
-            rows = [(i, n, *item) for i, t in zip(batch.column(0).to_pylist(), texts, strict=True) for n, item in enumerate(items_of(t.decode("utf-8", "replace")))]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(i, k, n, *item) for i, k, t in zip(ids, keys, texts, strict=True) for n, item in enumerate(items_of(t.decode("utf-8", "replace")))]
+            columns = list(zip(*rows, strict=True)) or [[]] * len(ITEMS)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, ITEMS, strict=True)], schema=ITEMS)
 
-    return map_arrow(pages.select(F.col(page_id).cast("long").alias("page_id"), text_or_empty("html").alias("html")), run, ITEMS)
+    own = pages.select(F.col(page_id).cast("long").alias("page_id"), text_or_empty("html").alias("html"))
+    return map_arrow(own.select("page_id", F.xxhash64("page_id", "html").alias("page_key"), "html"), run, ITEMS)
 
 
 def document_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, html): each document as a page whose text stands as a medium, referred to by digest."""
+    """(doc_id, html): each document as a page whose text stands as a medium, referred to by digest, between two paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_chunks(batches):
-            pages = [f'<article><h1>Document {i}</h1><figure><img src="sha256:{sha256(padded(t)).hexdigest()}"><figcaption>{len(t)} bytes &amp; padding</figcaption></figure></article>' for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
+            pages = []
+            for i, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+                whole = padded(t)
+                figure = f'<figure><img src="sha256:{sha256(whole).hexdigest()}"><figcaption>{len(t)} bytes &amp; padding</figcaption></figure>'
+                pages.append(f"<article><h1>Document {i}</h1>{figure}<p>{len(whole)} bytes</p></article>")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string())], schema=PAGES)
 
     return map_arrow(doc_texts(docs), run, PAGES)
 
 
-def text_page(lines: list[str], digest: str, caption: str) -> str:
-    """A page of paragraphs and one figure."""
-    return "".join(f"<p>{html_lib.escape(x)}</p>" for x in lines) + f'<figure><img src="sha256:{digest}"><figcaption>{html_lib.escape(caption)}</figcaption></figure>'
-
-
 def media_store(docs: DataFrame) -> DataFrame:
     """(digest, media): each distinct payload once."""
 
@@ -186,19 +189,24 @@ def media_features(store: DataFrame) -> DataFrame:
     return map_arrow(store.select("digest", "media"), run, FEATURES)
 
 
-def resolve(page_items: DataFrame, store: DataFrame) -> DataFrame:
-    """The items with what the store holds for their digests (columns of `store`); text items and missing media keep nulls."""
-    return page_items.join(store, "digest", "left")
-
-
-def sequences(resolved: DataFrame, *columns: str) -> DataFrame:
-    """(page_id, items): each page's items in order, as an array of structs with the given columns of the store."""
-    return resolved.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("position", "kind", "text", "digest", "caption", *columns))).alias("items"))
+def interleaved(page_items: DataFrame, store: DataFrame, *columns: str) -> DataFrame:
+    """(page_id, page_key, items): each page's items in page order, as an array of structs (position, kind, text, digest, caption,
+    and the given columns of the store, null for text and for media that the store lacks). Pages that repeat have a row each."""
+    own = store.select(F.col("digest").alias("_d"), *(F.col(c).alias(f"_{c}") for c in columns))
+    media = page_items.filter("kind = 'media'").join(own, F.col("digest") == F.col("_d"), "left")
+    text = page_items.filter("kind <> 'media'")
+    for c in columns:
+        text = text.withColumn(f"_{c}", F.lit(None).cast(store.schema[c].dataType))
+    item = F.struct("position", "kind", "text", "digest", "caption", *(F.col(f"_{c}").alias(c) for c in columns))
+    both = media.drop("_d").unionByName(text)
+    # copies of a page have equal items: they are gathered once and counted
+    pages = both.groupBy("page_id", "page_key").agg(F.sort_array(F.collect_set(item)).alias("items"), F.count("*").alias("n"))
+    return pages.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / F.size("items")).cast("int")))).select("page_id", "page_key", "items")
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """One row per document: its medium by way of its page's reference, with position and caption."""
-    refs = items(document_pages(docs), "doc_id").filter("kind = 'media'")
-    return resolve(refs, media_features(media_store(docs))).select(
-        F.col("page_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
-    )
+    """One row per document: the medium of its page's sequence, with position, caption and the number of the page's items."""
+    names = FEATURES.names[1:]
+    pages = interleaved(items(document_pages(docs), "doc_id"), media_features(media_store(docs)), *names)
+    found = pages.select(F.col("page_id").alias("doc_id"), F.size("items").alias("n_items"), F.explode(F.filter("items", lambda x: x["kind"] == "media")).alias("m"))
+    return found.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in (*names, "position", "caption")), "n_items")
