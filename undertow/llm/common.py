@@ -62,5 +62,12 @@ def map_arrow(df: DataFrame, fn: Callable, schema: pa.Schema) -> DataFrame:
     return df.mapInArrow(fn, from_arrow_schema(schema))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, checkpointed and without the plan's estimates: a checkpoint keeps these, and the estimate of a join is a product,
+    so over the rounds of an iteration its digits would double again and again."""
+    spark, own = df.sparkSession, df.checkpoint()
+    return type(df)(spark._jsparkSession.createDataFrame(own._jdf.javaRDD(), own._jdf.schema()), spark)
+
+
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row_key"] == b["row_key"])

@@ -11,7 +11,13 @@ survives is verified. A key with more than `tile` rows is dealt over pairs of ti
 of the links it found, never all pairs of a group.
 
 Nulls and empty texts have no words: fingerprint zero, linked like any other. Fewer than `width` words: one shingle of all
-of them. Repeated rows have equal fingerprints and one row of the result each. A null doc_id names no component.
+of them. Repeated rows have equal fingerprints and one row of the result each. A null doc_id names no component. Ties don't
+occur: every link within the limit counts. Very long texts are hashed whole. An empty table gives no rows. Columns other than
+doc_id and text are not read.
+
+Pivots alone can't be the index: a coordinate is a distance around 32 with a deviation of 4, so a difference of 4 or fewer keeps
+about half of all pairs, and 12 coordinates keep a few of ten thousand: too many of all pairs of a large corpus, and none of
+them could be left unread without a key. So keys of blocks say which rows meet, and the table discards within a key.
 """
 
 from __future__ import annotations
@@ -63,7 +69,7 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(bits)).tobytes(), "big")
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -72,7 +78,7 @@ def fingerprints(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in by_chunks(batches):
-            yield with_columns(batch, ["doc_id", "row_key"], FP_SCHEMA, fp=[_signed(fingerprint(t, how.width, how.seed)) for t in texts])
+            yield with_columns(batch, ["doc_id", "row_key"], FP_SCHEMA, fp=[signed(fingerprint(t, how.width, how.seed)) for t in texts])
 
     return map_arrow(keyed_texts(docs), run, FP_SCHEMA)
 
@@ -176,8 +182,9 @@ def _classes(prints: DataFrame, how: SimHash) -> DataFrame:
     """(fp, component_id): for each distinct fingerprint, the smallest doc_id that has one linked to it."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = component_roots(fingerprint_links(nodes, how))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # both written out, so that the join on the root is one that Spark can split by a hot component's rows
+    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).checkpoint()
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id")).checkpoint()
     return named.join(smallest, "root").select("fp", "root", "component_id")
 
 

@@ -3,11 +3,18 @@
 Words are those of fingerprint.py; a shingle is `width` words, and a text of fewer words is one shingle. Shingles stand for
 themselves as 64-bit hashes. Documents with equal sets are one node, so exact copies cost nothing; texts without words are one.
 
-No pair is left to chance. In any one order of all shingles, two sets of similarity t share a shingle among the first
-n - ceil(t n) + 1 of either (n its size), so only these prefixes are shuffled. The order is by hash, with shingles that a
-sample shows to be common last: the sample decides how much work there is, never the result. Round one compares neighbours in
-size under each shared shingle and joins what is similar; round two compares all pairs whose groups still differ. Counts of a
-set's shingles by bucket of hashes bound what two sets can share; pairs that this bound leaves are verified on the whole sets.
+SimHash comes first: fingerprints over the same shingles, whose pivot distance tables give the pairs that differ in few bits;
+each is verified on the whole sets. A limit on bits can't promise a similarity (at 0.8, ten bits of 64 differ on average), so an
+exact pass follows that leaves no pair to chance. In any one order of all shingles, two sets of similarity t share a shingle
+among the first n - ceil(t n) + 1 of either (n its size), so only these prefixes are shuffled. The order is by hash, with
+shingles that a sample shows to be common last: the sample decides how much work there is, never the result. Round one compares
+neighbours in size under each shared shingle and joins what is similar; round two compares all pairs whose groups still differ.
+Counts of a set's shingles by bucket of hashes bound what two sets can share; pairs that this bound leaves are verified on the
+whole sets.
+
+Nulls and empty texts have no words and are copies of each other. Repeated rows are copies, each a row of the result. Very long
+texts are one set each. Ties among doc_ids that stay are settled by the text's hash, null ids come last. An empty table gives no
+rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.llm.common import by_chunks, keyed_texts, map_arrow
+from undertow.llm.fingerprint import SimHash, fingerprint, fingerprint_links, signed
 from undertow.llm.graph import component_roots
 
 #: Buckets of hashes whose counts are compared first.
 BUCKETS = 256
 
-ROWS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("counts", pa.binary())])
+ROWS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("counts", pa.binary()), ("fp", pa.int64())])
 TOKENS = pa.schema([("token", pa.int64())])
 PREFIXES = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int64())])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -36,13 +44,16 @@ PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 @dataclass(frozen=True)
 class Near:
-    """Similar: a Jaccard similarity of at least part / whole. One document of `sample` is looked at for common shingles."""
+    """Similar: a Jaccard similarity of at least part / whole. One document of `sample` is looked at for common shingles. Up to
+    `max_keys` keys of texts to verify are broadcast (8 bytes each); beyond that the texts are joined instead."""
 
     width: int = 5
     part: int = 4
     whole: int = 5
     sample: int = 16
     max_common: int = 100_000
+    max_keys: int = 1_000_000
+    simhash: SimHash = SimHash(width=5)
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -144,26 +155,42 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, how: Near) ->
     x, y = (nodes.select(F.col("node").alias(end), F.col("counts").alias(c)) for end, c in (("a", "x"), ("b", "y")))
     pairs = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
     pairs = map_arrow(pairs, lambda batches: _possible(how, batches), PAIRS).checkpoint()
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node")
-    keys = np.sort(np.array([r.row_key for r in ends.select("row_key").toLocalIterator()], np.int64))
-    wanted = docs.sparkSession.sparkContext.broadcast(keys)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("row_key").checkpoint()
+    texts = keyed_texts(docs)
+    few = ends.count() <= how.max_keys
+    wanted = None
+    if few:
+        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(ends.toArrow().column("row_key").to_numpy()))
+    else:
+        texts = texts.join(ends, "row_key", "left_semi").select("doc_id", "row_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            batch = batch.filter(pa.array(np.isin(batch.column(1).to_numpy(zero_copy_only=False), wanted.value)))
+            if wanted is not None:
+                batch = batch.filter(pa.array(np.isin(batch.column(1).to_numpy(zero_copy_only=False), wanted.value)))
             for _, texts in by_chunks(iter([batch])):
                 sets = {n: s for s in shingle_sets(texts, how.width) if (n := _node(s)) not in done}
                 done.update(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.list_(pa.int64()))], schema=SETS)
 
-    sets = map_arrow(keyed_texts(docs), run, SETS).groupBy("node").agg(F.first("shingles").alias("shingles")).checkpoint()
+    sets = map_arrow(texts, run, SETS).groupBy("node").agg(F.first("shingles").alias("shingles")).checkpoint()
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     similar = shared * (how.part + how.whole) >= how.part * (F.size("x") + F.size("y"))
     return both.filter(similar).select(F.col("a").alias("src"), F.col("b").alias("dst")).checkpoint()
 
 
+def _fingerprint_pairs(nodes: DataFrame, how: Near) -> DataFrame:
+    """(a, b): pairs that connect nodes whose fingerprints are equal or differ in few bits."""
+    own = nodes.select("node", "fp")
+    lead = own.groupBy("fp").agg(F.min("node").alias("lead")).checkpoint()
+    same = own.join(lead, "fp").filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    links = fingerprint_links(lead.select("fp"), how.simhash)
+    links = links.join(lead.select(F.col("fp").alias("src"), F.col("lead").alias("x")), "src").join(lead.select(F.col("fp").alias("dst"), F.col("lead").alias("y")), "dst")
+    return same.unionByName(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
 def near_copies(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """(doc_id, row_key, root): rows whose root is equal are linked by similar pairs, directly or by others."""
     spark = docs.sparkSession
@@ -179,7 +206,8 @@ def near_copies(docs: DataFrame, how: Near = Near()) -> DataFrame:
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, own in by_chunks(batches):
             sets = shingle_sets(own, how.width)
-            columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([_counts(s) for s in sets], pa.binary())]
+            prints = [signed(fingerprint(t, how.simhash.width, how.simhash.seed)) for t in own]
+            columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([_counts(s) for s in sets], pa.binary()), pa.array(prints, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=ROWS)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,17 +222,16 @@ def near_copies(docs: DataFrame, how: Near = Near()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=PREFIXES)
 
     rows = map_arrow(texts, named, ROWS).checkpoint()
-    nodes = rows.groupBy("node").agg(F.min(F.struct("row_key", "counts")).alias("r")).select("node", "r.row_key", "r.counts")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("row_key", "counts", "fp")).alias("r")).select("node", "r.row_key", "r.counts", "r.fp")
     order = ["token", "size", "node"]
     dealt = map_arrow(texts, prefixes, PREFIXES).repartition("token").sortWithinPartitions(*order)
     groups = map_arrow(dealt.select(*order), _shared, PREFIXES).checkpoint()
-    first = map_arrow(groups.select(*order, F.col("node").alias("root")), lambda b: _pairs(how, b, True), PAIRS)
-    links = _verified(docs, nodes, first, how)
+    links = _verified(docs, nodes, _fingerprint_pairs(nodes, how), how)
+    for neighbours in (True, False):
+        rooted = groups.join(component_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = rooted.repartition("token").sortWithinPartitions(*order).select(*order, "root")
+        links = links.union(_verified(docs, nodes, map_arrow(rooted, lambda b, n=neighbours: _pairs(how, b, n), PAIRS), how))
     roots = component_roots(links)
-    named_groups = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named_groups = named_groups.repartition("token").sortWithinPartitions(*order).select(*order, "root")
-    rest = _verified(docs, nodes, map_arrow(named_groups, lambda b: _pairs(how, b, False), PAIRS), how)
-    roots = component_roots(links.union(rest))
     return rows.join(roots, "node", "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
 
 
