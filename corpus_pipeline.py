@@ -20,15 +20,19 @@ STAGES = [
     ("packing", stages.pack),
 ]
 
-#: Scores, fingerprints and token ids are beyond SQL; tests hold the stages against plain versions.
+#: Scores, fingerprints and token ids are beyond SQL; tests/llm/test_stages.py holds each stage and the run against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; what lies between them is written to the folder that all machines share."""
+    """All stages on `documents`; what lies between them is written to the folder that all machines share, and goes at the end."""
     docs = table(spark, sf_dir, "documents")
     shared = spark.sparkContext.getCheckpointDir() + f"/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}")
-        docs = spark.read.parquet(f"{shared}/{k}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}")
+            docs = spark.read.parquet(f"{shared}/{k}")
+        return STAGES[-1][1](spark, docs, sf_dir).checkpoint()
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(shared)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -36,6 +37,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if not spark.sparkContext.getCheckpointDir():
-        # a cluster names a folder that all machines share; only a local run falls back
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/undertow-checkpoints"))
+        shared = spark.conf.get("spark.checkpoint.dir", "")
+        if not shared and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "undertow-checkpoints"))
     return spark
