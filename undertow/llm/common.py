@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -69,5 +70,12 @@ def settled(df: DataFrame) -> DataFrame:
     return type(df)(spark._jsparkSession.createDataFrame(own._jdf.javaRDD(), own._jdf.schema()), spark)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of rounds that are done. It does so when the driver's garbage is
+    collected, which many small rounds may not bring about before their files have piled up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row_key"] == b["row_key"])

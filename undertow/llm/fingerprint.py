@@ -117,11 +117,11 @@ def linked_forest(key: np.ndarray, fp: np.ndarray, max_bits: int, pivots: np.nda
         close = (np.abs(table[i, 1:] - table[j, 1:]) <= max_bits).all(axis=1)
         a, b = i[close], j[close]
         ok = np.bitwise_count(fp[a] ^ fp[b]) <= max_bits
-        for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
-            x, y = find(x), find(y)
+        for first, second in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+            x, y = find(first), find(second)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                out.append((x, y))
+                out.append((first, second))  # not the roots, which would make hubs
         lag += 1
         i = i[i + lag < len(fp)]
     return order[np.array(out, np.int64).reshape(-1, 2).T]

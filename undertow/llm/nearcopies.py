@@ -3,9 +3,9 @@
 Words are those of fingerprint.py; a shingle is `width` words, and a text of fewer words is one shingle. Shingles stand for
 themselves as 64-bit hashes. Documents with equal sets are one node, so exact copies cost nothing; texts without words are one.
 
-SimHash comes first: fingerprints over the same shingles, whose pivot distance tables give the pairs that differ in few bits;
-each is verified on the whole sets. A limit on bits can't promise a similarity (at 0.8, ten bits of 64 differ on average), so an
-exact pass follows that leaves no pair to chance. In any one order of all shingles, two sets of similarity t share a shingle
+SimHash gives the first pairs: fingerprints over the same shingles, whose pivot distance tables find those that differ in few
+bits; each pair is verified on the whole sets. A limit on bits can't promise a similarity (at 0.8, ten bits of 64 differ on
+average), so exact rounds go with it that leave no pair to chance. In any one order of all shingles, two sets of similarity t share a shingle
 among the first n - ceil(t n) + 1 of either (n its size), so only these prefixes are shuffled. The order is by hash, with
 shingles that a sample shows to be common last: the sample decides how much work there is, never the result. Round one compares
 neighbours in size under each shared shingle and joins what is similar; round two compares all pairs whose groups still differ.
@@ -226,11 +226,11 @@ def near_copies(docs: DataFrame, how: Near = Near()) -> DataFrame:
     order = ["token", "size", "node"]
     dealt = map_arrow(texts, prefixes, PREFIXES).repartition("token").sortWithinPartitions(*order)
     groups = map_arrow(dealt.select(*order), _shared, PREFIXES).checkpoint()
-    links = _verified(docs, nodes, _fingerprint_pairs(nodes, how), how)
-    for neighbours in (True, False):
-        rooted = groups.join(component_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = rooted.repartition("token").sortWithinPartitions(*order).select(*order, "root")
-        links = links.union(_verified(docs, nodes, map_arrow(rooted, lambda b, n=neighbours: _pairs(how, b, n), PAIRS), how))
+    near = map_arrow(groups.select(*order, F.col("node").alias("root")), lambda b: _pairs(how, b, True), PAIRS)
+    links = _verified(docs, nodes, near.unionByName(_fingerprint_pairs(nodes, how)), how)
+    rooted = groups.join(component_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.repartition("token").sortWithinPartitions(*order).select(*order, "root")
+    links = links.union(_verified(docs, nodes, map_arrow(rooted, lambda b: _pairs(how, b, False), PAIRS), how))
     roots = component_roots(links)
     return rows.join(roots, "node", "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
 
