@@ -9,8 +9,8 @@ average), so exact rounds go with it that leave no pair to chance. In any one or
 among the first n - ceil(t n) + 1 of either (n its size), so only these prefixes are shuffled. The order is by hash, with
 shingles that a sample shows to be common last: the sample decides how much work there is, never the result. Round one compares
 neighbours in size under each shared shingle and joins what is similar; round two compares all pairs whose groups still differ.
-Counts of a set's shingles by bucket of hashes bound what two sets can share; pairs that this bound leaves are verified on the
-whole sets.
+Pairs of round two are first held to a sketch (the parity of a set's shingles by bucket of hashes), then all pairs to the counts
+by bucket; both bound what two sets can share, and neither loses a similar pair. What is left is verified on the whole sets.
 
 Nulls and empty texts have no words and are copies of each other. Repeated rows are copies, each a row of the result. Very long
 texts are one set each. Ties among doc_ids that stay are settled by the text's hash, null ids come last. An empty table gives no
@@ -35,7 +35,7 @@ from undertow.llm.graph import component_roots
 #: Buckets of hashes whose counts are compared first.
 BUCKETS = 256
 
-ROWS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("counts", pa.binary()), ("fp", pa.int64())])
+ROWS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("counts", pa.binary()), ("sketch", pa.binary()), ("fp", pa.int64())])
 TOKENS = pa.schema([("token", pa.int64())])
 PREFIXES = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int64())])
 SETS = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -86,6 +86,12 @@ def _counts(s: np.ndarray) -> bytes:
     return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """By bucket, whether the number of shingles is odd: a shingle that only one of two sets has changes one bit, so two sets
+    differ in at least as many shingles as their sketches do in bits."""
+    return np.packbits(np.bincount(s & (BUCKETS - 1), minlength=BUCKETS) & 1).tobytes()
+
+
 def _possible(how: Near, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (columns a, b, x, y; x and y are their counts) that can share enough shingles; what has no counts can."""
     for batch in batches:
@@ -108,11 +114,14 @@ def _prefix(s: np.ndarray, common: np.ndarray, how: Near) -> np.ndarray:
     return s[:n]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by the first one; its equal values are never torn apart."""
-    held = [np.zeros(0, np.int64)] * columns
+def _groups(batches: Iterator[pa.RecordBatch], columns: int, sketches: bool = False) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one; its equal values are never torn apart. The last may be sketches, as four numbers."""
+    held = [np.zeros(0, np.int64)] * columns + [np.zeros((0, BUCKETS // 64), np.uint64)] * sketches
     for batch in batches:
-        held = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(held)]
+        own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        if sketches:
+            own.append(np.frombuffer(b"".join(batch.column(columns).to_pylist()), np.uint64).reshape(-1, BUCKETS // 64))
+        held = [np.concatenate([x, y]) for x, y in zip(held, own, strict=True)]
         if len(held[0]) >= 60_000 and (whole := int(np.searchsorted(held[0], held[0][-1]))):
             yield [x[:whole] for x in held]
             held = [x[whole:] for x in held]
@@ -134,14 +143,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(how: Near, batches: Iterator[pa.RecordBatch], neighbours: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of one token (columns token, size, node, root) of different roots whose sizes allow the similarity."""
-    for token, size, node, root in _groups(batches, 4):
+    """Pairs of one token (columns token, size, node, root, and sketch but for neighbours) of different roots whose sizes and
+    sketches allow the similarity."""
+    for token, size, node, root, *rest in _groups(batches, 4, not neighbours):
         i, lag = np.arange(len(token) - 1), 1
         while len(i):
             j = i + lag
             i = i[(token[i] == token[j]) & (how.whole * size[i] >= how.part * size[j])]
             j = i + lag
             differ = root[i] != root[j]
+            for sketch in rest:
+                # similar sets differ in (whole - part) / (whole + part) of both sizes at most
+                bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+                differ &= bits * (how.whole + how.part) <= (how.whole - how.part) * (size[i] + size[j])
             if differ.any():
                 ends = np.stack([node[i[differ]], node[j[differ]]])
                 ends = np.unique(np.sort(ends, axis=0), axis=1)
@@ -207,7 +221,7 @@ def near_copies(docs: DataFrame, how: Near = Near()) -> DataFrame:
         for batch, own in by_chunks(batches):
             sets = shingle_sets(own, how.width)
             prints = [signed(fingerprint(t, how.simhash.width, how.simhash.seed)) for t in own]
-            columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([_counts(s) for s in sets], pa.binary()), pa.array(prints, pa.int64())]
+            columns = [pa.array([_node(s) for s in sets], pa.int64()), pa.array([_counts(s) for s in sets], pa.binary()), pa.array([_sketch(s) for s in sets], pa.binary()), pa.array(prints, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=ROWS)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,14 +236,14 @@ def near_copies(docs: DataFrame, how: Near = Near()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=PREFIXES)
 
     rows = map_arrow(texts, named, ROWS).checkpoint()
-    nodes = rows.groupBy("node").agg(F.min(F.struct("row_key", "counts", "fp")).alias("r")).select("node", "r.row_key", "r.counts", "r.fp")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("row_key", "counts", "sketch", "fp")).alias("r")).select("node", "r.row_key", "r.counts", "r.sketch", "r.fp").checkpoint()
     order = ["token", "size", "node"]
     dealt = map_arrow(texts, prefixes, PREFIXES).repartition("token").sortWithinPartitions(*order)
     groups = map_arrow(dealt.select(*order), _shared, PREFIXES).checkpoint()
     near = map_arrow(groups.select(*order, F.col("node").alias("root")), lambda b: _pairs(how, b, True), PAIRS)
     links = _verified(docs, nodes, near.unionByName(_fingerprint_pairs(nodes, how)), how)
     rooted = groups.join(component_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.repartition("token").sortWithinPartitions(*order).select(*order, "root")
+    rooted = rooted.join(nodes.select("node", "sketch"), "node").repartition("token").sortWithinPartitions(*order).select(*order, "root", "sketch")
     links = links.union(_verified(docs, nodes, map_arrow(rooted, lambda b: _pairs(how, b, False), PAIRS), how))
     roots = component_roots(links)
     return rows.join(roots, "node", "left").select("doc_id", "row_key", F.coalesce("root", "node").alias("root"))
