@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import by_chunks, keyed_texts, map_arrow
+from undertow.llm.common import by_chunks, keyed_texts, map_arrow, release
 
 ANCHORS = pa.schema([("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("p", pa.int32())])
 FOUND = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("first", pa.bool_())])
@@ -447,6 +447,8 @@ def row_spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     rows = map_arrow(texts, lambda batches: _anchor_rows(how, batches), ANCHORS)
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = map_arrow(rows, _found, FOUND).checkpoint()
+    del rows  # the anchors' shuffle files can go
+    release(docs.sparkSession)
     # written out, so that the join below is one that Spark can split by a hot anchor's rows
     wide = found.filter("first").groupBy("a").agg(F.ceil(F.count("*") / how.per_group).cast("int").alias("parts")).filter("parts > 1").checkpoint()
     need = found.join(wide, "a", "left").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("a", "lo", "hi", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("own"))
