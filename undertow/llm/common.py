@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -70,10 +71,12 @@ def settled(df: DataFrame) -> DataFrame:
     return type(df)(spark._jsparkSession.createDataFrame(own._jdf.javaRDD(), own._jdf.schema()), spark)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files and checkpoints of rounds that are done. It does so when the driver's garbage is
-    collected, which many small rounds may not bring about before their files have piled up."""
+def release(spark: SparkSession, wait: float = 0.0) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of what is done. It does so when the driver's garbage is collected,
+    which many small rounds may not bring about before their files have piled up. Python's side lets go of a plan about a
+    second after its last use; `wait` is for that."""
     gc.collect()
+    time.sleep(wait)
     spark._jvm.System.gc()
 
 

@@ -8,10 +8,14 @@ bytes, instead of on positions; neighbouring windows with one anchor are one row
    partitions and streams past. A row whose context hash occurs again goes on, and so does one row of each hash whose anchor has
    several. Hashes only choose who is compared; nothing is removed on their word.
 2. The texts of those rows are looked at again. Contexts that are the same bytes meet within a task, so that each task sends a
-   common context once, however many copies it has. What met there is settled; the rest waits for what other tasks have.
-3. Contexts of one anchor are merge-sorted, two suffixes being compared by binary search for their common extension over prefix
-   polynomial hashes; neighbours that compare alike are verified byte by byte. Among contexts that differ, the suffixes that may
-   begin a common window are sorted and verified likewise, which gives the windows at the borders of common passages.
+   common context once, however many copies it has. What met there is settled; the rest waits for what other tasks have. Contexts
+   of a passage overlap, so one is sent whole only if it has to be compared with others or ends a passage; otherwise its own
+   bytes are, those before the next context, with a 128-bit hash of the whole.
+3. What is sent of one anchor is merge-sorted, two suffixes being compared by binary search for their common extension over
+   prefix polynomial hashes; neighbours that compare alike are verified byte by byte. So each byte of a common passage is
+   compared once, with the context that it is the own part of; that the overlapping part is alike as well rests on the hash
+   and on the next contexts' bytes. Among contexts that differ, the suffixes that may begin a common window are sorted and
+   verified likewise, which gives the windows at the borders of common passages.
 
 An anchor with many contexts is dealt over ceil(contexts / per_group) tasks by the hashes of its windows: equal windows meet in
 one of them, and a context goes to those that its windows name, at most once a window.
@@ -34,14 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import by_chunks, keyed_texts, map_arrow, release
+from undertow.llm.common import by_chunks, keyed_texts, map_arrow
 
 ANCHORS = pa.schema([("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("p", pa.int32())])
 FOUND = pa.schema([("a", pa.int64()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("first", pa.bool_())])
-#: A context (bytes) or, without bytes, a settled span; `own` contexts wait for a verdict, others were settled where they met.
+#: A context (its first bytes and the hash of all) or, without bytes, a settled span; `own` contexts wait for a verdict, others
+#: were settled where they met.
 CONTEXTS = pa.schema(
     [("deal", pa.int64()), ("a", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("own", pa.bool_()),
-     ("context", pa.binary())]
+     ("context", pa.binary()), ("digest", pa.binary())]
 )
 SPANS = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -210,13 +215,13 @@ def _deal(a: int, part: int) -> int:
 
 
 def _contexts(how: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From texts with lists of (a, lo, hi, parts): contexts that met here as settled spans, and each distinct one once."""
+    """From texts with lists of (a, lo, hi, parts, first): contexts that met here as settled spans, and each distinct one once."""
     seen: dict[tuple[int, bytes], list] = {}
     rows: list[tuple] = []
     size = 0
 
     def settled(a: int, doc, key: int, lo: int, hi: int) -> None:
-        rows.append((key, a, 0, 1, doc, key, lo, hi, False, None))
+        rows.append((key, a, 0, 1, doc, key, lo, hi, False, None, None))
 
     def emit() -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [[]] * len(CONTEXTS)
@@ -225,10 +230,13 @@ def _contexts(how: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
     def flush() -> Iterator[pa.RecordBatch]:
         held = 0
-        for (a, context), (doc, key, lo, hi, parts, own) in seen.items():
-            for k in _parts_of(context, how.length, parts):
-                rows.append((_deal(a, k), a, k, parts, doc, key, lo, hi, own, context))
-                held += len(context)
+        for (a, context), (doc, key, lo, hi, parts, own, whole) in seen.items():
+            # a class meets in the first of its parts; only what is compared with others goes to all of them
+            deals, digest = _parts_of(context, how.length, parts), xxhash.xxh3_128_digest(context)
+            sent = context if whole else context[: hi - lo + 1]
+            for k in deals if whole else deals[:1]:
+                rows.append((_deal(a, k), a, k, parts, doc, key, lo, hi, own, sent, digest))
+                held += len(sent)
             if held > 4_000_000:
                 yield emit()
                 held = 0
@@ -238,14 +246,17 @@ def _contexts(how: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     for batch, texts in by_chunks(batches):
         docs, keys, needs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
         for doc, key, t, own in zip(docs, keys, texts, needs, strict=True):
+            starts = {need["lo"] for need in own}
             for need in own:
                 a, lo, hi = need["a"], need["lo"], need["hi"]
+                whole = need["first"] or hi + 1 not in starts
                 context = t[lo : hi + how.length]
                 met = seen.get((a, context))
                 if met is None:
-                    seen[a, context] = [doc, key, lo, hi, need["parts"], True]
+                    seen[a, context] = [doc, key, lo, hi, need["parts"], True, whole]
                     size += len(context)
                     continue
+                met[6] |= whole
                 if met[5]:
                     met[5] = False
                     settled(a, *met[:4])
@@ -368,17 +379,22 @@ def common_windows(group: list[int], contexts: list[bytes], length: int, part: l
     return out
 
 
-def equal_classes(contexts: list[bytes], sorter: SuffixSorter, at: list[int]) -> list[list[int]]:
-    """Contexts (at places `at` of the sorter's bytes) by classes of equal bytes: sorted by their hashes, neighbours verified."""
-    ends = {at[i]: i for i in range(len(contexts))}
-    order = [ends[s] for s, _ in sorter.sorted([(at[i], at[i] + len(c)) for i, c in enumerate(contexts)])]
-    out = [[order[0]]]
-    for x, y in zip(order, order[1:], strict=False):
-        n = len(contexts[x])
-        if n == len(contexts[y]) and sorter.common(at[x], at[y], n) == n and sorter.verified(at[x], at[y], n) == n:
-            out[-1].append(y)
-        else:
-            out.append([y])
+def equal_classes(contexts: list[bytes], sorter: SuffixSorter, at: list[int], digests: list[bytes], sizes: list[int]) -> list[list[int]]:
+    """Contexts (at places `at` of the sorter's bytes) by classes of equal hashes and equal bytes, own part by own part (the
+    first `sizes` bytes): sorted by the hashes of prefixes, neighbours verified."""
+    by: dict[tuple[bytes, int], list[int]] = {}
+    for i, key in enumerate(zip(digests, sizes, strict=True)):
+        by.setdefault(key, []).append(i)
+    out = []
+    for (_, n), own in by.items():
+        place = {at[i]: i for i in own}
+        order = [place[s] for s, _ in sorter.sorted([(at[i], at[i] + n) for i in own])] if len(own) > 1 else own
+        out.append([order[0]])
+        for x, y in zip(order, order[1:], strict=False):
+            if sorter.common(at[x], at[y], n) == n and sorter.verified(at[x], at[y], n) == n:
+                out[-1].append(y)
+            else:
+                out.append([y])
     return out
 
 
@@ -396,14 +412,18 @@ def _resolve(how: Repeats, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             while last < len(rows) and rows[last][1:3] == rows[first][1:3]:
                 last += 1
             if last - first > 1:
-                classes = equal_classes(contexts[first:last], sorter, at[first:last])
+                own = rows[first:last]
+                classes = equal_classes(contexts[first:last], sorter, at[first:last], [r[10] for r in own], [r[7] - r[6] + 1 for r in own])
                 for same in classes:
                     if len(same) > 1:
-                        found += [(r[4], r[5], r[6], r[7] + how.length) for r in (rows[first + i] for i in same) if r[8]]
+                        found += [(r[4], r[5], r[6], r[7] + how.length) for r in (own[i] for i in same) if r[8]]
                 if len(classes) > 1:
-                    mixed += [(first, [first + i for i in same]) for same in classes]
+                    # of each class a whole context, if it sent one to be compared
+                    for same in classes:
+                        mixed += [(first, [first + i for i in sorted(same, key=lambda i: -len(own[i][9]))])]
             first = last
         # one context of each class; those of a class met already, so only lone ones wait for windows
+        mixed = [(g, same) for g, same in mixed if len(rows[same[0]][9]) >= rows[same[0]][7] - rows[same[0]][6] + how.length]
         lead = [same[0] for _, same in mixed]
         spans = common_windows([g for g, _ in mixed], [contexts[i] for i in lead], how.length, [rows[i][2] for i in lead], [rows[i][3] for i in lead])
         for (_, same), own in zip(mixed, spans, strict=True):
@@ -447,11 +467,9 @@ def row_spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     rows = map_arrow(texts, lambda batches: _anchor_rows(how, batches), ANCHORS)
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = map_arrow(rows, _found, FOUND).checkpoint()
-    del rows  # the anchors' shuffle files can go
-    release(docs.sparkSession)
     # written out, so that the join below is one that Spark can split by a hot anchor's rows
     wide = found.filter("first").groupBy("a").agg(F.ceil(F.count("*") / how.per_group).cast("int").alias("parts")).filter("parts > 1").checkpoint()
-    need = found.join(wide, "a", "left").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("a", "lo", "hi", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("own"))
+    need = found.join(wide, "a", "left").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("a", "lo", "hi", F.coalesce("parts", F.lit(1)).alias("parts"), "first")).alias("own"))
     contexts = map_arrow(_row_join(texts, need, "inner"), lambda batches: _contexts(how, batches), CONTEXTS)
     contexts = contexts.repartition(parts, "deal").sortWithinPartitions("a", "part")
     return _by_row(map_arrow(contexts, lambda batches: _resolve(how, batches), SPANS), "start", "stop")
