@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from undertow.llm.common import by_chunks, keyed_texts, map_arrow
 
-#: Words or ids of a block's bucket (bucket from 0 on), the buckets of its places (BUCKETS), or one document's places (PLACES).
-ROWS = pa.schema([("deal", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
+#: Words or ids of a block's bucket (bucket from 0 on), the buckets of its places (BUCKETS), or some documents' places (PLACES).
+ROWS = pa.schema([("deal", pa.int64()), ("block", pa.int64()), ("bucket", pa.int32()), ("docs", pa.list_(pa.int64())), ("n", pa.int32()), ("data", pa.binary())])
 BUCKETS, PLACES = -1, -2
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -154,8 +154,11 @@ def _split_rows(how: ByteBPE, buckets: int, batches: Iterator[pa.RecordBatch]) -
         deal = buckets + block
         rows.append((deal, block, BUCKETS, None, len(bucket), press(_planes(np.array(bucket, "<u4")))))
         yield _batch(rows, ROWS)
-        for at in range(0, len(ids), 500):
-            yield _batch([(deal, block, PLACES, doc, len(c), press(_planes(place[c]))) for doc, c in zip(ids[at : at + 500], came[at : at + 500], strict=True)], ROWS)
+        # documents are compressed together, as each one alone would bring tables of its own
+        for at in range(0, len(ids), 64):
+            own, some = ids[at : at + 64], came[at : at + 64]
+            data = _lengths([len(c) for c in some]) + _planes(place[np.concatenate(some)])
+            yield _batch([(deal, block, PLACES, own, len(own), press(data))], ROWS)
 
 
 _kernels: dict[str, object] = {}
@@ -245,10 +248,13 @@ def _assemble(how: ByteBPE, digests: bool, block: pa.Table) -> pa.Table:
     start, length = by_place
     table = _token_bytes(how.path)
     rows = []
-    for doc, data in zip(seqs.column("doc_id").to_pylist(), seqs.column("data").to_pylist(), strict=True):
-        ids = _gather(start, length, flat, _numbers(expand(data)))
-        raw, text = ids.astype("<u4").tobytes(), _gather(*table, ids).tobytes()
-        rows.append((doc, len(ids), sha256(raw).hexdigest(), sha256(text).hexdigest()) if digests else (doc, len(ids), raw, text))
+    for own, n, data in zip(seqs.column("docs").to_pylist(), seqs.column("n").to_pylist(), seqs.column("data").to_pylist(), strict=True):
+        raw = expand(data)
+        places = np.split(_numbers(raw, 4 * n), np.cumsum(np.frombuffer(raw, "<u4", n))[:-1].astype(np.int64))
+        for doc, own_places in zip(own, places, strict=True):
+            ids = _gather(start, length, flat, own_places)
+            raw, text = ids.astype("<u4").tobytes(), _gather(*table, ids).tobytes()
+            rows.append((doc, len(ids), sha256(raw).hexdigest(), sha256(text).hexdigest()) if digests else (doc, len(ids), raw, text))
     return pa.Table.from_batches([_batch(rows, DIGESTS if digests else OUT)])
 
 
