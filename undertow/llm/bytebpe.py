@@ -50,7 +50,7 @@ class ByteBPE:
 
     path: str
     pattern: str
-    block_bytes: int = 12_000_000
+    block_bytes: int = 24_000_000
     buckets: int | None = None
 
 
