@@ -264,7 +264,7 @@ def _graph(spark, sf):
     return e, e.unionByName(cloud)
 
 
-EDGES = """pairs AS (SELECT CAST(o_custkey % 100 AS VARCHAR) AS src, CAST(l_suppkey % 100 AS VARCHAR) AS dst, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 97 = 0),
+EDGES = """pairs AS (SELECT CAST(o_custkey % 100 AS VARCHAR) AS src, CAST(l_suppkey % 100 AS VARCHAR) AS dst, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 n1 AS (SELECT DISTINCT src, dst FROM pairs WHERE src <> dst), e AS (SELECT * FROM n1 UNION SELECT DISTINCT dst, 'PLATFORM:' || (CAST(dst AS INT) % 4) FROM pairs),
 v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"""
 R2 = "r AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst), rr AS (SELECT src, dst, min(hops) AS hops FROM r GROUP BY 1, 2)"
@@ -285,8 +285,8 @@ def _contracts(spark, sf):
     return pop, deps
 
 
-@query(f"""WITH {EDGES}, {R2}, pop AS (SELECT o_orderkey AS c, CAST(o_custkey % 100 AS VARCHAR) AS n FROM orders WHERE o_orderkey % 97 = 0),
-d AS (SELECT DISTINCT l_orderkey AS c, CAST(l_suppkey % 100 AS VARCHAR) AS s, 1 AS t FROM lineitem WHERE l_orderkey % 97 = 0 UNION SELECT c, n, 0 FROM pop),
+@query(f"""WITH {EDGES}, {R2}, pop AS (SELECT o_orderkey AS c, CAST(o_custkey % 100 AS VARCHAR) AS n FROM orders),
+d AS (SELECT DISTINCT l_orderkey AS c, CAST(l_suppkey % 100 AS VARCHAR) AS s, 1 AS t FROM lineitem UNION SELECT c, n, 0 FROM pop),
 x AS (SELECT DISTINCT c, node FROM (SELECT c, s AS node, t AS a FROM d UNION ALL SELECT d.c, rr.dst, d.t + rr.hops FROM d JOIN rr ON d.s = rr.src) WHERE a <= 2),
 y AS (SELECT x.* FROM x JOIN pop ON x.c = pop.c WHERE x.node <> pop.n), g AS (SELECT node, count(*) AS k FROM y GROUP BY 1)
 SELECT node, CAST(coalesce(k, 0) AS DOUBLE) AS contracts, round(coalesce(k, 0) / (SELECT count(*) FROM pop), 6) AS exposure FROM v LEFT JOIN g USING (node)""")
