@@ -16,8 +16,8 @@ occur: every link within the limit counts. Very long texts are hashed whole. An
 doc_id and text are not read.
 
 Pivots alone can't be the index: a coordinate is a distance around 32 with a deviation of 4, so a difference of 4 or fewer keeps
-about half of all pairs, and 12 coordinates keep a few of ten thousand: too many of all pairs of a large corpus, and none of
-them could be left unread without a key. So keys of blocks say which rows meet, and the table discards within a key.
+57 % of random pairs, and 12 coordinates about 0.1 %: too many of all pairs of a large corpus, and none of them could be left
+unread without a key. So keys of blocks say which rows meet, and the table discards within a key.
 """
 
 from __future__ import annotations
