@@ -1,11 +1,14 @@
 from undertow.operators import exposure as ex
 
+HUB = "PLATFORM:AWS"
+
 
 def setup(spark):
-    pop = spark.createDataFrame([("C1", "A"), ("C2", "B"), ("C3", "C"), ("C4", "A")], "contract_id string, performing_node string")
-    deps = spark.createDataFrame([("C1", "B", 1, "sub"), ("C2", "PLATFORM:Azure", 1, "sub"), ("C3", "PLATFORM:Azure", 1, "cloud")], "contract_id string, dep_node string, tier int, kind string")
-    nodes = spark.createDataFrame([("A",), ("B",), ("C",), ("PLATFORM:Azure",)], "node string")
-    edges = spark.createDataFrame([("A", "B"), ("B", "PLATFORM:Azure")], "src string, dst string")
+    """p1 and p2 buy from m, which runs on the hub; p2's second contract names the hub itself, p3's runs on it."""
+    pop = spark.createDataFrame([("k1", "p1"), ("k2", "p2"), ("k3", "p2"), ("k4", "p3"), ("k5", "m")], "contract_id string, performing_node string")
+    deps = spark.createDataFrame([("k1", "m", 1, "sub"), ("k2", "m", 1, "sub"), ("k3", HUB, 1, "sub"), ("k4", HUB, 2, "cloud")], "contract_id string, dep_node string, tier int, kind string")
+    nodes = spark.createDataFrame([("p1",), ("p2",), ("p3",), ("m",), (HUB,)], "node string")
+    edges = spark.createDataFrame([("p1", "m"), ("p2", "m"), ("m", HUB)], "src string, dst string")
     return pop, deps, nodes, edges
 
 
@@ -15,26 +18,30 @@ def by_node(df, c):
 
 def test_contracts(spark):
     pop, deps, nodes, edges = setup(spark)
-    assert [by_node(ex.contract_exposure(pop, deps, edges, nodes, k), "contracts")["PLATFORM:Azure"] for k in (1, 2, 3)] == [2, 3, 3]
-    assert by_node(ex.contract_exposure(pop, deps, edges, nodes, 3, permissive=True), "contracts")["A"] == 0
-    assert by_node(ex.contract_exposure(pop, deps, edges, nodes, 1, clouded=False), "contracts")["PLATFORM:Azure"] == 1
-    w = spark.createDataFrame([("C1", 1.0), ("C2", 97.0), ("C3", 1.0), ("C4", 1.0)], "contract_id string, weight double")
-    assert by_node(ex.contract_exposure(pop, deps, edges, nodes, 1, weights=w), "exposure")["PLATFORM:Azure"] == 0.98
+    # tier 1: k3; tier 2: k1 and k2 by way of m, k4 through its platform
+    assert [by_node(ex.contract_exposure(pop, deps, edges, nodes, k), "contracts")[HUB] for k in (1, 2)] == [1, 4]
+    assert by_node(ex.contract_exposure(pop, deps, edges, nodes, 2, clouded=False), "contracts")[HUB] == 3
+    # a performer's own reach: m's contract counts for the hub, not for m
+    wide = by_node(ex.contract_exposure(pop, deps, edges, nodes, 2, permissive=True), "contracts")
+    assert wide[HUB] == 5 and wide["m"] == 3 and wide["p1"] == 0
+    w = spark.createDataFrame([("k1", 1.0), ("k2", 1.0), ("k3", 6.0), ("k4", -3.0)], "contract_id string, weight double")
+    assert by_node(ex.contract_exposure(pop, deps, edges, nodes, 1, weights=w), "exposure")[HUB] == 0.75
 
 
-def test_entities_cycles_and_diamonds(spark):
+def test_entities_rings_and_double_ways(spark):
     _, _, nodes, edges = setup(spark)
-    assert by_node(ex.entity_exposure(edges, nodes, 1), "exposure")["PLATFORM:Azure"] == 1 / 3
-    assert by_node(ex.entity_exposure(edges, nodes, 2), "exposure")["PLATFORM:Azure"] == 2 / 3
-    cycle = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A")], "src string, dst string")
-    three = spark.createDataFrame([("A",), ("B",), ("C",)], "node string")
-    assert by_node(ex.entity_exposure(cycle, three, 5), "exposure")["A"] == 1
-    diamond = spark.createDataFrame([("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")], "src string, dst string")
-    assert by_node(ex.entity_exposure(diamond, ex.nodes_of(diamond.select("src"), diamond.select("dst")), 3), "exposure")["D"] == 1
+    assert [by_node(ex.entity_exposure(edges, nodes, k), "exposure")[HUB] for k in (1, 2)] == [1 / 4, 3 / 4]
+    ring = spark.createDataFrame([(str(i), str((i + 1) % 4)) for i in range(4)], "src string, dst string")
+    four = ex.nodes_of(ring.select("src"))
+    assert [by_node(ex.entity_exposure(ring, four, k), "dependents")["0"] for k in (1, 2, 3, 7)] == [1, 2, 3, 3]
+    ways = spark.createDataFrame([("s", x) for x in "abc"] + [(x, "t") for x in "abc"], "src string, dst string")
+    assert by_node(ex.entity_exposure(ways, ex.nodes_of(ways.select("src"), ways.select("dst")), 2), "dependents")["t"] == 4
 
 
 def test_barbell(spark):
-    n = spark.createDataFrame([("A", 0.5), ("B", 0.4), ("C", 0.1), ("D", 0.0)], "node string, exposure double")
-    c = spark.createDataFrame([("A", 0.5), ("B", 0.45), ("C", 0.9), ("D", 0.8)], "node string, exposure double")
-    got = {r.node: r for r in ex.barbell(n, c, 2).collect()}
-    assert set(got) == set("ABCD") and got["C"].normal_rank == 3 and got["C"].clouded_rank == 1 and got["D"].ratio is None and abs(got["C"].ratio - 9) < 1e-9
+    n = spark.createDataFrame([("g", 0.6), ("h", 0.3), ("i", 0.3), ("j", 0.0)], "node string, exposure double")
+    c = spark.createDataFrame([("g", 0.6), ("h", 0.3), ("i", 0.7), ("j", 0.9)], "node string, exposure double")
+    got = {r.node: r for r in ex.barbell(n, c, 1).collect()}
+    assert set(got) == {"g", "j"} and got["j"].normal_rank == 4 and got["j"].clouded_rank == 1 and got["j"].ratio is None and got["g"].clouded_rank == 3 and got["g"].ratio == 1
+    tied = {r.node: r.normal_rank for r in ex.barbell(n, c, 3).collect()}
+    assert tied["h"] == tied["i"] == 2

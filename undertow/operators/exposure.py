@@ -79,13 +79,21 @@ def contract_exposure(population: DataFrame, deps: DataFrame, edges: DataFrame,
     return out.select("node", "contracts", F.coalesce(F.try_divide("contracts", "_size"), F.lit(0.0)).alias("exposure"))
 
 
+def _rank_among(view: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, rank) of chosen (node, exposure) rows, few and gathered into one row: one more than the view's greater exposures."""
+    marks = chosen.agg(F.sort_array(F.collect_set("exposure")).alias("_marks"))
+    below = view.crossJoin(F.broadcast(marks)).select(F.explode(F.filter("_marks", lambda m: m < F.col("exposure"))).alias("exposure"))
+    return chosen.join(below.groupBy("exposure").agg(F.count("*").alias("_above")), "exposure", "left").select("node", (F.coalesce("_above", F.lit(0)) + 1).cast("int").alias("rank"))
+
+
 def barbell(normal: DataFrame, clouded: DataFrame, top: int) -> DataFrame:
-    """Nodes in the top of either view with both values, their difference and ratio, and ranks over the full views."""
-    rank = Window.orderBy(F.desc("exposure"))
-    place = Window.orderBy(F.desc("exposure"), "node")
-    ranked = lambda d, n: d.select("node", F.col("exposure").alias(n), F.rank().over(rank).alias(f"{n}_rank"), F.row_number().over(place).alias(f"{n}_place"))
+    """Nodes in the top of either view with both values, their difference and ratio, and ranks over the full views.
+
+    At most 2 * top nodes are chosen, so what ranks them is small; the views themselves are never sorted whole."""
+    first = lambda v: v.orderBy(F.desc("exposure"), "node").limit(top).select("node")
+    chosen = first(normal).unionByName(first(clouded)).distinct()
+    ranked = lambda v, n: (lambda own: own.join(_rank_among(v, own), "node").select("node", F.col("exposure").alias(n), F.col("rank").alias(f"{n}_rank")))(v.select("node", "exposure").join(chosen, "node", "left_semi"))
     both = ranked(normal, "normal").join(ranked(clouded, "clouded"), "node", "outer")
-    both = both.filter((F.col("normal_place") <= top) | (F.col("clouded_place") <= top))
     return both.select("node", "normal", "clouded", (F.col("clouded") - F.col("normal")).alias("delta"), F.try_divide("clouded", "normal").alias("ratio"), "normal_rank", "clouded_rank")
 
 
@@ -96,12 +104,22 @@ def leaderboard(view: DataFrame, top: int) -> DataFrame:
 
 
 def exposure_summary(view: DataFrame, edges: DataFrame) -> DataFrame:
-    """Over nodes that something depends on: n, zeros, max, 95th percentile, mean, nodes above 10 %."""
-    v = view.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-    return v.agg(
-        F.count("*").alias("n"), F.sum((F.col("exposure") == 0).cast("long")).alias("zeros"), F.max("exposure").alias("max"), F.percentile("exposure", F.lit(0.95)).alias("p95"),
-        F.avg("exposure").alias("mean"), F.sum((F.col("exposure") > 0.1).cast("long")).alias("above_10_pct"),
+    """Over nodes that something depends on: n, max, 95th percentile, mean, Gini of positive values, nodes above 10 %; zeros over all nodes.
+
+    The Gini coefficient needs no order of nodes: equal values are counted first, and only distinct values are sorted."""
+    v = view.select("node", "exposure").join(edges.select(F.col("dst").alias("node")).distinct().withColumn("_in", F.lit(True)), "node", "left")
+    inside = F.col("_in").isNotNull()
+    value = F.when(inside, F.col("exposure"))
+    by = v.filter(inside & (F.col("exposure") > 0)).groupBy("exposure").agg(F.count("*").alias("m"))
+    run = Window.orderBy("exposure").rowsBetween(Window.unboundedPreceding, -1)
+    placed = by.withColumn("_places", F.col("m") * F.coalesce(F.sum("m").over(run), F.lit(0)) + F.col("m") * (F.col("m") + 1) / 2)
+    n, total = F.sum("m"), F.sum(F.col("m") * F.col("exposure"))
+    gini = placed.agg(F.coalesce(2 * F.sum(F.col("_places") * F.col("exposure")) / (n * total) - (n + 1) / n, F.lit(0.0)).alias("gini"))
+    out = v.agg(
+        F.count(value).alias("n"), F.sum((F.col("exposure") == 0).cast("long")).alias("zeros"), F.max(value).alias("max"), F.percentile(value, F.lit(0.95)).alias("p95"),
+        F.avg(value).alias("mean"), F.coalesce(F.sum((value > 0.1).cast("long")), F.lit(0)).alias("above_10_pct"),
     )
+    return out.crossJoin(F.broadcast(gini))
 
 
 def ego(edges_normal: DataFrame, edges_clouded: DataFrame, target: str, k: int) -> DataFrame:

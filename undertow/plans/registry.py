@@ -255,60 +255,6 @@ def parse_label(spark, sf):
     return raw.select("doc_id", at.parse_label("raw").alias("p")).select("doc_id", "p.classification", "p.platform", "p.evidence")
 
 
-def _graph(spark, sf):
-    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    li = read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    pairs = li.join(o, li.l_orderkey == o.o_orderkey).select((F.col("o_custkey") % 100).cast("string").alias("src"), (F.col("l_suppkey") % 100).cast("string").alias("dst"))
-    e = ex.edges_of(pairs)
-    cloud = ex.edges_of(pairs.select("dst", F.concat(F.lit("PLATFORM:"), (F.col("dst").cast("int") % 4).cast("string")).alias("p")).distinct().select(F.col("dst").alias("src"), F.col("p").alias("dst")), "cloud")
-    return e, e.unionByName(cloud)
-
-
-EDGES = """pairs AS (SELECT CAST(o_custkey % 100 AS VARCHAR) AS src, CAST(l_suppkey % 100 AS VARCHAR) AS dst, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-n1 AS (SELECT DISTINCT src, dst FROM pairs WHERE src <> dst), e AS (SELECT * FROM n1 UNION SELECT DISTINCT dst, 'PLATFORM:' || (CAST(dst AS INT) % 4) FROM pairs),
-v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"""
-R2 = "r AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT a.src, b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst), rr AS (SELECT src, dst, min(hops) AS hops FROM r GROUP BY 1, 2)"
-
-
-@query(f"WITH {EDGES}, {R2}, g AS (SELECT dst AS node, count(*) AS c FROM rr GROUP BY 1) SELECT node, CAST(coalesce(c, 0) AS DOUBLE) AS dependents, round(coalesce(c, 0) / ((SELECT count(*) FROM v) - 1), 6) AS exposure FROM v LEFT JOIN g USING (node)")
-def entity_exposure(spark, sf):
-    _, e = _graph(spark, sf)
-    nodes = ex.nodes_of(e.select("src"), e.select("dst"))
-    return rounded(ex.entity_exposure(e, nodes, 2), 6)
-
-
-def _contracts(spark, sf):
-    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    li = read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
-    pop = o.select(F.col("o_orderkey").cast("string").alias("contract_id"), (F.col("o_custkey") % 100).cast("string").alias("performing_node"))
-    deps = li.select(F.col("l_orderkey").cast("string").alias("contract_id"), (F.col("l_suppkey") % 100).cast("string").alias("dep_node"), F.lit(1).alias("tier"), F.lit("sub").alias("kind")).distinct()
-    return pop, deps
-
-
-@query(f"""WITH {EDGES}, {R2}, pop AS (SELECT o_orderkey AS c, CAST(o_custkey % 100 AS VARCHAR) AS n FROM orders),
-d AS (SELECT DISTINCT l_orderkey AS c, CAST(l_suppkey % 100 AS VARCHAR) AS s, 1 AS t FROM lineitem UNION SELECT c, n, 0 FROM pop),
-x AS (SELECT DISTINCT c, node FROM (SELECT c, s AS node, t AS a FROM d UNION ALL SELECT d.c, rr.dst, d.t + rr.hops FROM d JOIN rr ON d.s = rr.src) WHERE a <= 2),
-y AS (SELECT x.* FROM x JOIN pop ON x.c = pop.c WHERE x.node <> pop.n), g AS (SELECT node, count(*) AS k FROM y GROUP BY 1)
-SELECT node, CAST(coalesce(k, 0) AS DOUBLE) AS contracts, round(coalesce(k, 0) / (SELECT count(*) FROM pop), 6) AS exposure FROM v LEFT JOIN g USING (node)""")
-def contract_exposure(spark, sf):
-    _, e = _graph(spark, sf)
-    pop, deps = _contracts(spark, sf)
-    return rounded(ex.contract_exposure(pop, deps, e, ex.nodes_of(e.select("src"), e.select("dst")), 2, permissive=True), 6)
-
-
-@query()
-def barbell(spark, sf):
-    n, e = _graph(spark, sf)
-    nodes = ex.nodes_of(e.select("src"), e.select("dst"))
-    return rounded(ex.barbell(ex.entity_exposure(n, nodes, 2), ex.entity_exposure(e, nodes, 2), 10), 6)
-
-
-@query(f"WITH {EDGES}, {R2} SELECT src AS node, hops, EXISTS (SELECT 1 FROM n1 WHERE 1 = 0) AS in_normal FROM rr WHERE dst = 'PLATFORM:1'")
-def ego_network(spark, sf):
-    n, e = _graph(spark, sf)
-    return ex.ego(n, e, "PLATFORM:1", 2)
-
-
 def _buyers(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("fiscal_year"))
     li = read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
