@@ -12,7 +12,7 @@ PLATFORM = gr.PREFIX
 def tables(spark, folder):
     rng = random.Random(5)
     orders = [(k, rng.randrange(120), 10.0 * k) for k in range(1, 61)]
-    items = [(rng.randrange(1, 61), rng.randrange(1, 4), rng.randrange(30), rng.randrange(40), 5.0, rng.choice("ANR"), float(rng.randrange(1, 50))) for _ in range(90)]
+    items = [(rng.randrange(1, 61), rng.randrange(1, 4), rng.choice([0, 1, 2, 3, 20, 40, 60]), rng.randrange(40), 5.0, rng.choice("ANR"), float(rng.randrange(1, 50))) for _ in range(90)]
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
     names = "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_extendedprice double, l_returnflag string, l_quantity double"
     spark.createDataFrame(items, names).write.parquet(f"{folder}/lineitem.parquet")
@@ -35,19 +35,20 @@ def test_exposure_queries_read_every_row(spark, tmp_path):
     orders, items = tables(spark, tmp_path)
     sf = str(tmp_path)
     supplier = {1: "Azure", 2: "AWS"}
-    alias = {f"E{s}": supplier[s % 19] for _, _, s, *_ in items if s % 19 in supplier}
+    sub = lambda s: f"S{s}" if s % 20 else f"E{s}"
+    alias = {sub(s): supplier[s % 19] for _, _, s, *_ in items if s % 19 in supplier}
     entity = {}
     for k, c, _ in orders:
-        entity[k] = f"E{c // 10}" if c % 13 else f"E{c}"
+        entity[k] = f"E{c // 2}" if c % 13 else f"E{c}"
     for c in {c for _, c, _ in orders if c % 101 == 1}:
-        for e in {f"E{c}", *([f"E{c // 10}"] if c % 13 else [])}:
+        for e in {f"E{c}", *([f"E{c // 2}"] if c % 13 else [])}:
             alias[e] = "Oracle Cloud"
     node = lambda e: PLATFORM + alias[e] if e in alias else e
-    normal = {(node(entity[o]), node(f"E{s}")) for o, _, s, *_ in items}
+    normal = {(node(entity[o]), node(sub(s))) for o, _, s, *_ in items}
     normal = {(a, b) for a, b in normal if a != b}
     deps, cloud = set(), set()
     for o, line, s, part, _, flag, quantity in items:
-        who = node(f"E{s}") if line > 1 else node(entity[o])
+        who = node(sub(s)) if line > 1 else node(entity[o])
         if line > 1:
             deps.add((o, who, 1))
         found = ({"AWS"} if part % 4 == 0 else {"Azure"} if part % 4 == 1 else set()) | ({"AWS", "Google Cloud"} if quantity > 40 else set())
@@ -60,7 +61,7 @@ def test_exposure_queries_read_every_row(spark, tmp_path):
 
     got = {(r.src, r.dst) for r in gq.clouded_graph(spark, sf).collect()}
     assert got == full
-    hops = reached(full, 3)
+    hops = reached(full, 2)
     want = {n: sum(d == n for _, d in hops) for n in nodes}
     got = {r.node: (r.dependents, r.exposure) for r in gq.entity_exposure(spark, sf).collect()}
     assert got == {n: (c, round(c / (len(nodes) - 1), 6)) for n, c in want.items()}
@@ -69,7 +70,7 @@ def test_exposure_queries_read_every_row(spark, tmp_path):
     for o, _, _ in orders:
         own = node(entity[o])
         seeds = {(d, t) for c, d, t in deps if c == o} | {(own, 0)}
-        hit = {s for s, t in seeds if t <= 3} | {d for (a, d), h in hops.items() for s, t in seeds if a == s and t + h <= 3}
+        hit = {s for s, t in seeds if t <= 2} | {d for (a, d), h in hops.items() for s, t in seeds if a == s and t + h <= 2}
         for n in hit - {own}:
             seen[n] += 1
     got = {r.node: r.contracts for r in gq.contract_exposure(spark, sf).collect()}

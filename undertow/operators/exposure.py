@@ -22,35 +22,59 @@ def nodes_of(*columns: DataFrame) -> DataFrame:
     return out.filter("node is not null").distinct()
 
 
-def reach(edges: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
-    """(src, dst, hops): the fewest hops from src to dst, 1 to k. Semi-naive: a step extends only the pairs it found last.
+def _numbered(edges: DataFrame, *columns: DataFrame) -> DataFrame:
+    """(node, code): a number for each node, written down, as it must not change when a part is computed again."""
+    return nodes_of(edges.select("src"), edges.select("dst"), *columns).withColumn("code", F.monotonically_increasing_id()).checkpoint()
 
-    targets: where given, only paths that end there are followed, from the end backwards."""
-    e = edges.select("src", "dst").filter("src <> dst").distinct()
-    front = (e.join(targets.select(F.col("node").alias("dst")), "dst", "left_semi") if targets is not None else e).withColumn("hops", F.lit(1))
-    seen = front
+
+def _coded(df: DataFrame, column: str, ids: DataFrame, how: str = "inner") -> DataFrame:
+    """The column's nodes replaced by their numbers."""
+    i = ids.select(F.col("node").alias("_node"), F.col("code").alias("_code"))
+    return df.join(i, df[column] == i["_node"], how).withColumn(column, F.col("_code")).drop("_node", "_code")
+
+
+def _named(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    i = ids.select(F.col("node").alias("_node"), F.col("code").alias("_code"))
+    return df.join(i, df[column] == i["_code"]).withColumn(column, F.col("_node")).drop("_node", "_code")
+
+
+def _reach(edges: DataFrame, k: int, ids: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """reach() in numbers. Each round is one aggregation to the fewest hops: no sort, no join of pairs with pairs seen."""
+    e = _coded(_coded(edges.select("src", "dst").filter("src <> dst").distinct(), "src", ids), "dst", ids)
+    if k > 1:
+        e = e.checkpoint()
+    seen = e.join(_coded(targets.select(F.col("node").alias("dst")), "dst", ids), "dst", "left_semi").select("src", "dst") if targets is not None else e
+    seen = seen.withColumn("hops", F.lit(1))
     for h in range(2, k + 1):
-        step = e.select("src", F.col("dst").alias("mid")).join(front.select(F.col("src").alias("mid"), "dst"), "mid").filter("src <> dst").select("src", "dst").distinct()
-        front = step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("hops", F.lit(h))
-        seen = seen.unionByName(front)
+        front = seen.filter(F.col("hops") == h - 1).select(F.col("src").alias("mid"), "dst")
+        step = e.select("src", F.col("dst").alias("mid")).join(front, "mid").filter("src <> dst").select("src", "dst", F.lit(h).alias("hops"))
+        seen = seen.unionByName(step).groupBy("src", "dst").agg(F.min("hops").alias("hops"))
         if h < k:
             # one round is one checkpoint: a lost executor costs a round
             seen = seen.checkpoint()
-            front = seen.filter(F.col("hops") == h)
     return seen
 
 
+def reach(edges: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
+    """(src, dst, hops): the fewest hops from src to dst, 1 to k. Semi-naive: a step extends only the pairs it found last.
+
+    targets: where given, only paths that end there are followed, from the end backwards."""
+    ids = _numbered(edges)
+    return _named(_named(_reach(edges, k, ids, targets), "src", ids), "dst", ids).select("src", "dst", "hops")
+
+
 def entity_exposure(edges: DataFrame, nodes: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
     """(node, dependents, exposure): the share of other nodes (or of all weight) that reach the node within k hops."""
-    r = reach(edges, k)
+    ids = _numbered(edges)
+    r = _reach(edges, k, ids)
     if weights is None:
         got = r.groupBy(F.col("dst").alias("node")).agg(F.count("*").cast("double").alias("dependents"))
         size = nodes.agg((F.count("*") - 1).cast("double").alias("_size"))
     else:
         w = nodes.join(weights, "node", "left").select("node", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"))
-        got = r.join(w.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("dependents"))
+        got = r.join(_coded(w.withColumnRenamed("node", "src"), "src", ids), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("dependents"))
         size = w.agg(F.sum("weight").alias("_size"))
-    out = nodes.join(got, "node", "left").na.fill(0.0, ["dependents"]).crossJoin(F.broadcast(size))
+    out = nodes.join(_named(got, "node", ids), "node", "left").na.fill(0.0, ["dependents"]).crossJoin(F.broadcast(size))
     return out.select("node", "dependents", F.coalesce(F.try_divide("dependents", "_size"), F.lit(0.0)).alias("exposure"))
 
 
@@ -60,22 +84,29 @@ def contract_exposure(population: DataFrame, deps: DataFrame, edges: DataFrame,
     A dependency of tier t reaches nodes t + hops tiers away. permissive: the performing node starts at tier 0 as well.
     Without clouded, dependencies of kind cloud don't count."""
     d = deps if clouded else deps.filter("kind <> 'cloud'")
-    seeds = d.select("contract_id", F.col("dep_node").alias("src"), "tier")
-    if permissive:
-        seeds = seeds.unionByName(population.filter("performing_node is not null").select("contract_id", F.col("performing_node").alias("src"), F.lit(0).alias("tier")))
-    seeds = seeds.groupBy("contract_id", "src").agg(F.min("tier").alias("tier"))
-    direct = seeds.select("contract_id", F.col("src").alias("node"), F.col("tier").alias("at"))
-    r = reach(edges, k)
-    further = seeds.join(r, "src").select("contract_id", F.col("dst").alias("node"), (F.col("tier") + F.col("hops")).alias("at"))
-    exposed = direct.unionByName(further).filter((F.col("at") <= k) & (F.col("at") >= 0)).select("contract_id", "node").distinct()
-    own = population.select("contract_id", F.col("performing_node").alias("node"))
-    exposed = exposed.join(own, ["contract_id", "node"], "left_anti").join(population.select("contract_id"), "contract_id", "left_semi")
     if weights is None:
-        got, size = exposed.groupBy("node").agg(F.count("*").cast("double").alias("contracts")), population.agg(F.count("*").cast("double").alias("_size"))
+        pop = population.select("contract_id", F.col("performing_node").alias("own"), F.lit(1.0).alias("weight"))
     else:
-        w = population.select("contract_id").join(weights, "contract_id", "left").select("contract_id", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"))
-        got, size = exposed.join(w, "contract_id").groupBy("node").agg(F.sum("weight").alias("contracts")), w.agg(F.sum("weight").alias("_size"))
-    out = nodes.join(got, "node", "left").na.fill(0.0, ["contracts"]).crossJoin(F.broadcast(size))
+        pop = population.select("contract_id", F.col("performing_node").alias("own")).join(weights.select("contract_id", "weight"), "contract_id", "left")
+        pop = pop.select("contract_id", "own", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"))
+    seeds = d.select("contract_id", F.col("dep_node").alias("src"), "tier").groupBy("contract_id", "src").agg(F.min("tier").alias("tier"))
+    ids = _numbered(edges, seeds.select("src"), pop.select("own"))
+    r = _reach(edges, k, ids)
+    seeds, pop = _coded(seeds, "src", ids), _coded(pop, "own", ids, "left")
+    # a seed is at its own tier, and what it reaches hops tiers further on
+    seeds = seeds.filter(F.col("tier").between(0, k)).join(pop, "contract_id")
+    further = seeds.join(r, "src").filter(F.col("tier") + F.col("hops") <= k).select("contract_id", "own", "weight", F.col("dst").alias("node"))
+    exposed = seeds.select("contract_id", "own", "weight", F.col("src").alias("node")).unionByName(further).filter(~F.col("node").eqNullSafe(F.col("own")))
+    if permissive:
+        exposed = exposed.join(r.select(F.col("src").alias("own"), F.col("dst").alias("node")), ["own", "node"], "left_anti")
+    got = exposed.groupBy("contract_id", "node").agg(F.first("weight").alias("weight")).groupBy("node").agg(F.sum("weight").alias("contracts"))
+    if permissive:
+        # what a performer reaches, all its contracts reach: counted by performer, not by contract
+        held = pop.filter("own is not null").groupBy(F.col("own").alias("src")).agg(F.sum("weight").alias("weight"))
+        by_performer = r.join(held, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("weight").alias("contracts"))
+        got = got.unionByName(by_performer).groupBy("node").agg(F.sum("contracts").alias("contracts"))
+    size = pop.agg(F.sum("weight").alias("_size"))
+    out = nodes.join(_named(got, "node", ids), "node", "left").na.fill(0.0, ["contracts"]).crossJoin(F.broadcast(size))
     return out.select("node", "contracts", F.coalesce(F.try_divide("contracts", "_size"), F.lit(0.0)).alias("exposure"))
 
 

@@ -1,7 +1,7 @@
 """The graph queries: awards, subawards and attributed records of the test tables, ids whole, and their SQL twins.
 
-An order is an award of its customer (E and the key; ten customers have one parent), a line item a subaward to its supplier
-(E and the key, so that suppliers are primes as well) and an attributed record.
+An order is an award of its customer (E and the key; two customers have one parent), a line item a subaward to its supplier
+(S and the key, or E where the supplier holds awards as well) and an attributed record.
 """
 
 from __future__ import annotations
@@ -21,8 +21,13 @@ def _entity(c: str):
     return F.concat(F.lit("E"), F.col(c).cast("string"))
 
 
+def _supplier():
+    """One supplier in twenty is an entity that holds awards too; the rest only subcontract."""
+    return F.when(F.col("l_suppkey") % 20 == 0, _entity("l_suppkey")).otherwise(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+
+
 def _customer() -> list:
-    parent = F.when(F.col("o_custkey") % 13 != 0, F.concat(F.lit("E"), F.floor(F.col("o_custkey") / 10).cast("string")))
+    parent = F.when(F.col("o_custkey") % 13 != 0, F.concat(F.lit("E"), F.floor(F.col("o_custkey") / 2).cast("string")))
     name = F.when(F.col("o_custkey") % 101 == 1, "Oracle America, Inc.").otherwise(F.concat(F.lit("Company "), F.col("o_custkey").cast("string")))
     return [_entity("o_custkey").alias("uei"), parent.alias("parent_uei"), name.alias("name")]
 
@@ -38,7 +43,7 @@ def subs(spark: SparkSession, sf: str) -> DataFrame:
     li, o = read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey"), read(spark, sf, "orders").select("o_orderkey", *[c.alias(f"prime_{n}") for c, n in zip(_customer(), ("uei", "parent_uei", "name"), strict=True)])
     s = F.col("l_suppkey")
     name = F.when(s % 19 == 1, "MICROSOFT CORP").when(s % 19 == 2, "Amazon Web Services Gov").otherwise(F.concat(F.lit("Supplier "), s.cast("string")))
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(_entity("l_suppkey").alias("sub_uei"), name.alias("sub_name"), "prime_uei", "prime_parent_uei", "prime_name")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(_supplier().alias("sub_uei"), name.alias("sub_name"), "prime_uei", "prime_parent_uei", "prime_name")
 
 
 def attributed(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +51,7 @@ def attributed(spark: SparkSession, sf: str) -> DataFrame:
     o = awards(spark, sf).select("award_id", "entity")
     sub = F.col("l_linenumber") > 1
     return li.join(o, li.l_orderkey.cast("string") == o.award_id).select(
-        F.col("award_id").alias("original_prime_id"), F.when(sub, _entity("l_suppkey")).otherwise(F.col("entity")).alias("contractor"), F.when(sub, "subcontract").otherwise("prime_retained").alias("record_type"),
+        F.col("award_id").alias("original_prime_id"), F.when(sub, _supplier()).otherwise(F.col("entity")).alias("contractor"), F.when(sub, "subcontract").otherwise("prime_retained").alias("record_type"),
         F.col("l_extendedprice").alias("dollars"), (F.col("l_returnflag") != "N").alias("is_cloud"),
         F.when(F.col("l_partkey") % 4 == 0, "AWS").when(F.col("l_partkey") % 4 == 1, "Azure").otherwise("Unspecified").alias("final_platform"),
         F.when(F.col("l_quantity") > 40, F.array(F.lit("Google Cloud"), F.lit("AWS"), F.lit("Other"))).alias("platform_mentions"),
@@ -96,12 +101,12 @@ class Graph:
         return ex.contract_exposure(self.population, self.deps, edges, self.nodes, k, permissive, clouded, weights)
 
 
-BASE = """aw AS (SELECT CAST(o_orderkey AS VARCHAR) AS award_id, 'E' || o_custkey AS uei, CASE WHEN o_custkey % 13 <> 0 THEN 'E' || (o_custkey // 10) END AS parent_uei,
+BASE = """aw AS (SELECT CAST(o_orderkey AS VARCHAR) AS award_id, 'E' || o_custkey AS uei, CASE WHEN o_custkey % 13 <> 0 THEN 'E' || (o_custkey // 2) END AS parent_uei,
   CASE WHEN o_custkey % 101 = 1 THEN 'Oracle America, Inc.' ELSE 'Company ' || o_custkey END AS name, CASE WHEN o_orderkey % 50 = 0 THEN -o_totalprice ELSE o_totalprice END AS dollars FROM orders),
 a AS (SELECT *, coalesce(parent_uei, uei) AS entity FROM aw),
-s AS (SELECT 'E' || l_suppkey AS sub_uei, CASE WHEN l_suppkey % 19 = 1 THEN 'MICROSOFT CORP' WHEN l_suppkey % 19 = 2 THEN 'Amazon Web Services Gov' ELSE 'Supplier ' || l_suppkey END AS sub_name,
+s AS (SELECT CASE WHEN l_suppkey % 20 = 0 THEN 'E' ELSE 'S' END || l_suppkey AS sub_uei, CASE WHEN l_suppkey % 19 = 1 THEN 'MICROSOFT CORP' WHEN l_suppkey % 19 = 2 THEN 'Amazon Web Services Gov' ELSE 'Supplier ' || l_suppkey END AS sub_name,
   a.uei AS prime_uei, a.parent_uei AS prime_parent_uei, a.name AS prime_name, a.entity FROM lineitem JOIN a ON CAST(l_orderkey AS VARCHAR) = a.award_id),
-rec AS (SELECT award_id, CASE WHEN l_linenumber > 1 THEN 'E' || l_suppkey ELSE entity END AS contractor, l_linenumber > 1 AS sub, l_extendedprice AS dollars, l_returnflag <> 'N' AS is_cloud,
+rec AS (SELECT award_id, CASE WHEN l_linenumber > 1 THEN CASE WHEN l_suppkey % 20 = 0 THEN 'E' ELSE 'S' END || l_suppkey ELSE entity END AS contractor, l_linenumber > 1 AS sub, l_extendedprice AS dollars, l_returnflag <> 'N' AS is_cloud,
   list_distinct(list_concat(CASE WHEN l_partkey % 4 = 0 THEN ['AWS'] WHEN l_partkey % 4 = 1 THEN ['Azure'] ELSE [] END, CASE WHEN l_quantity > 40 THEN ['AWS', 'Google Cloud'] ELSE [] END)) AS platforms
   FROM lineitem JOIN a ON CAST(l_orderkey AS VARCHAR) = a.award_id),
 pairs0 AS (SELECT 0 AS src, entity AS uei, name FROM a UNION ALL SELECT 1, uei, name FROM a UNION ALL SELECT 2, parent_uei, name FROM a UNION ALL SELECT 3, sub_uei, sub_name FROM s
@@ -170,10 +175,10 @@ def entity_weights(spark, sf):
     return rounded(gr.entity_weights(g.records, g.alias), 2)
 
 
-@query(f"WITH {BASE}, {_hops('r', 'ek', 3)}, {_entities('x', 'r')} SELECT node, c AS dependents, round(exposure, 6) AS exposure FROM x")
+@query(f"WITH {BASE}, {_hops('r', 'ek', 2)}, {_entities('x', 'r')} SELECT node, c AS dependents, round(exposure, 6) AS exposure FROM x")
 def entity_exposure(spark, sf):
     g = Graph(spark, sf)
-    return rounded(ex.entity_exposure(g.clouded, g.nodes, 3), 6)
+    return rounded(ex.entity_exposure(g.clouded, g.nodes, 2), 6)
 
 
 @query(f"WITH {BASE}, {_hops('r', 'ek', 3)}, w AS (SELECT v.node, coalesce(w, 0) AS w FROM v LEFT JOIN (SELECT coalesce(node, contractor) AS node, greatest(sum(dollars), 0) AS w FROM rec LEFT JOIN al ON uei = contractor GROUP BY 1) USING (node)) "
@@ -183,9 +188,9 @@ def entity_value_exposure(spark, sf):
     return rounded(ex.entity_exposure(g.clouded, g.nodes, 3, gr.entity_weights(g.records, g.alias)), 6).select("node", "exposure")
 
 
-@query(f"WITH {BASE}, {_hops('r', 'ek', 3)}, {_contracts_sql('x', 'r', 3, True, True)} SELECT node, c AS contracts, round(exposure, 6) AS exposure FROM x")
+@query(f"WITH {BASE}, {_hops('r', 'ek', 2)}, {_contracts_sql('x', 'r', 2, True, True)} SELECT node, c AS contracts, round(exposure, 6) AS exposure FROM x")
 def contract_exposure(spark, sf):
-    return rounded(Graph(spark, sf).contracts(3, True, True), 6)
+    return rounded(Graph(spark, sf).contracts(2, True, True), 6)
 
 
 @query(f"WITH {BASE}, {_hops('r', 'en', 2)}, {_contracts_sql('x', 'r', 2, True, False, 'w')} SELECT node, round(exposure, 6) AS exposure FROM x")
