@@ -58,22 +58,31 @@ def dedupe_awards(df: DataFrame, key: str = "award_id", order: str = "_ord", lon
     return d.groupBy(key).agg(*agg).withColumn("fiscal_year", fiscal_year("effective_date"))
 
 
-def link_subawards(subs: DataFrame, primes: DataFrame, key: str = "award_id", sub_key: str = "subaward_id") -> DataFrame:
-    """Adds prime_id: the six-part prefix of the subaward's id if it is a prime, else the longest prefix of two parts or more."""
+def prefix_candidates(subs: DataFrame, primes: DataFrame, key: str = "award_id", sub_key: str = "subaward_id") -> DataFrame:
+    """(sub_key, priority, prime_id): for each distinct id its prefixes that can be a prime's id, the first to take lowest.
+
+    A prefix of as many parts as no prime's id has is none: the first parts are alike in most ids, and would meet in one task."""
     parts = F.split(F.col(sub_key), "_")
     n = F.size(parts)
     candidates = F.when(
         n >= 2,
         F.concat(
-            F.when(n >= 6, F.array(F.struct(F.lit(0).alias("priority"), F.array_join(F.slice(parts, 1, 6), "_").alias("prime_id")))).otherwise(F.array()),
-            F.transform(F.sequence(F.lit(2), n), lambda k: F.struct((n - k + 1).alias("priority"), F.array_join(F.slice(parts, F.lit(1), k), "_").alias("prime_id"))),
+            F.when((n >= 6) & F.array_contains("_sizes", 6), F.array(F.struct(F.lit(0).alias("priority"), F.array_join(F.slice(parts, 1, 6), "_").alias("prime_id")))).otherwise(F.array()),
+            F.transform(
+                F.filter(F.sequence(F.lit(2), n), lambda k: F.array_contains("_sizes", k) & ((n < 6) | (k != 6))),
+                lambda k: F.struct((n - k + 1).alias("priority"), F.array_join(F.slice(parts, F.lit(1), k), "_").alias("prime_id")),
+            ),
         ),
     )
-    ids = primes.select(F.col(key).alias("prime_id")).filter("prime_id is not null").distinct()
-    # candidates are sought once for each distinct id
-    found = (
-        subs.select(sub_key).distinct().select(sub_key, F.inline(candidates)).join(ids, "prime_id").groupBy(sub_key).agg(F.min_by("prime_id", "priority").alias("prime_id"))
-    )
+    sizes = primes.filter(F.col(key).isNotNull()).agg(F.collect_set(F.size(F.split(key, "_"))).alias("_sizes"))
+    return subs.select(sub_key).distinct().crossJoin(F.broadcast(sizes)).select(sub_key, F.inline(candidates))
+
+
+def link_subawards(subs: DataFrame, primes: DataFrame, key: str = "award_id", sub_key: str = "subaward_id") -> DataFrame:
+    """Adds prime_id: the six-part prefix of the subaward's id if it is a prime, else the longest prefix of two parts or more."""
+    ids = primes.select(F.col(key).alias("prime_id")).filter("prime_id is not null")
+    # candidates are sought once for each distinct id; the semi-join's sides are plain shuffles, so that Spark can split a frequent prefix
+    found = prefix_candidates(subs, primes, key, sub_key).join(ids, "prime_id", "left_semi").groupBy(sub_key).agg(F.min_by("prime_id", "priority").alias("prime_id"))
     return subs.join(found, sub_key, "left")
 
 
